@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import exact_dedup, packing, token_counts
+from larkspur.llm import chat_format, exact_dedup, language_id, packing, secrets, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -27,6 +27,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.with_checksum(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_spans(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.STRONG))
+    each = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == k), False)).cast("long").alias(f"n_{k}") for k in secrets.STRONG]
+    return found.select("doc_id", *each, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_control_strings(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat_format.digests(chat_format.windows(turns))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_documents(spark, sf_dir))
 
@@ -35,6 +51,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
+        "op5_secrets": op5_secrets,
+        "op7_chat_format": op7_chat_format,
+        "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
