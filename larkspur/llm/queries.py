@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, exact_dedup, language_id, packing, secrets, token_counts
+from larkspur.llm import chat_format, exact_dedup, language_id, near_dedup, packing, secrets, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -39,6 +39,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(turns))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir).select("doc_id", "text", "lang"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_secrets": op5_secrets,
         "op7_chat_format": op7_chat_format,
+        "op8_near_dedup": op8_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
