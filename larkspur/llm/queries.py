@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, exact_dedup, language_id, near_dedup, packing, secrets, token_counts
+from larkspur.llm import brown_lm, chat_format, exact_dedup, language_id, near_dedup, packing, secrets, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_documents(spark, sf_dir).select("doc_id", "text"), folds=5, fold=1)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path(BYTE_BPE), limit=512)
@@ -53,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_lm": op1_brown_lm,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op5_secrets": op5_secrets,

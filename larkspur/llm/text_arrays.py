@@ -38,7 +38,7 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     """base**i for i < n, wrapping, kept and doubled as needed."""
     have = _powers[kind]
     while len(have) < n:
-        have = np.concatenate([have, have * (have[-1] * base)])
+        have = np.concatenate([have, have * (have[-1:] * base)])
     if len(have) <= 8 * SLICE_BYTES:
         _powers[kind] = have
     return have[:n]
