@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import brown_lm, chat_format, exact_dedup, language_id, near_dedup, packing, secrets, token_counts
+from larkspur.llm import brown_lm, chat_format, exact_dedup, language_id, media_chunks, near_dedup, packing, secrets, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -38,6 +38,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *each, F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists, chunks = media_chunks.store(_documents(spark, sf_dir).select("doc_id", "text"))
+    return media_chunks.load(lists, chunks)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_control_strings(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat_format.digests(chat_format.windows(turns))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
         "op5_secrets": op5_secrets,
+        "op6_media_chunks": op6_media_chunks,
         "op7_chat_format": op7_chat_format,
         "op8_near_dedup": op8_near_dedup,
         "op9_language_id": op9_language_id,
