@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import brown_lm, chat_format, exact_dedup, language_id, media_chunks, near_dedup, packing, secrets, token_counts
+from larkspur.llm import brown_lm, chat_format, exact_dedup, language_id, media_chunks, near_dedup, packing, piece_fst, secrets, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.with_checksum(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    both = piece_fst.decode(piece_fst.encode(_documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", piece_fst.round_trips("text", "decoded").alias("round_trip"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_spans(_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.STRONG))
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_brown_lm": op1_brown_lm,
         "op2_token_counts": op2_token_counts,
         "op3_packing": op3_packing,
+        "op4_piece_fst": op4_piece_fst,
         "op5_secrets": op5_secrets,
         "op6_media_chunks": op6_media_chunks,
         "op7_chat_format": op7_chat_format,
