@@ -189,13 +189,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     """
     found = find_spans(docs, id_col, text_col, reach).where(F.size("spans") > 0).select("_se_key", "spans").dropDuplicates(["_se_key"])
     tagged = docs.withColumn("_se_key", _key(F.col(id_col), F.col(text_col))).join(found.withColumnRenamed("spans", "_se_spans"), "_se_key", "left").drop("_se_key")
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(_cut(columns[place].to_pylist(), batch.columns[-1].to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = tagged.select(*docs.columns, "_se_spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
