@@ -104,4 +104,4 @@ def pieces(texts: list[str], special: str = "") -> tuple[list[str], np.ndarray]:
         at = at[~np.isin(at, np.concatenate(inside))]
     counts = np.searchsorted(at, begins + sizes) - np.searchsorted(at, begins)
     stops = at.tolist()
-    return [buffer[i:j] for i, j in zip(stops, [*stops[1:], len(buffer)], strict=True)], counts
+    return [buffer[i:j] for i, j in zip(stops, [*stops[1:], len(buffer)], strict=False)], counts
