@@ -7,9 +7,14 @@ append what this module returns, one writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators import state
+
 KEY = ("namespace", "key")
 
 
@@ -61,3 +66,31 @@ def release(versions: DataFrame, releases: DataFrame) -> DataFrame:
 def fenced_writes(writes: DataFrame, leases: DataFrame) -> DataFrame:
     """Writes that carry the key's current lease and fencing token."""
     return writes.join(current(leases).select(*KEY, "lease_id", "fencing_token"), [*KEY, "lease_id", "fencing_token"], "left_semi")
+
+
+@dataclass(frozen=True)
+class Update:
+    """What an update under leases leaves: the leases, staged versions, and releases to write."""
+
+    granted: DataFrame
+    staged: DataFrame | None
+    releases: DataFrame
+    error: Exception | None = None
+
+
+def acquire_for_update(leases: DataFrame, versions: DataFrame, requests: DataFrame, now: int, handler: Callable[[DataFrame], DataFrame]) -> Update:
+    """Acquire, hand a private snapshot to ``handler``, stage what it returns, release.
+
+    The handler gets ``namespace, key, doc, version, state_etag`` of the granted
+    keys and returns ``namespace, key, doc``. Leases are released in any case;
+    if the handler raises, with a rollback, and its error is in the result.
+    """
+    granted = acquire(leases, requests, now)
+    seen = granted.select(*KEY).join(state.latest(versions, public=False).select(*KEY, "doc", "version", "state_etag"), list(KEY), "left")
+    freed = granted.select(*KEY, F.col("lease_id").alias("txn_id"))
+    try:
+        made = handler(seen)
+    except Exception as error:  # the caller's code may raise anything
+        return Update(granted, None, freed.withColumn("rollback", F.lit(True)), error)
+    free = made.select(*KEY, "doc").withColumn("if_version", F.lit(None).cast("long")).withColumn("if_state_etag", F.lit(None).cast("string"))
+    return Update(granted, state.update(versions, free), freed.withColumn("rollback", F.lit(False)))

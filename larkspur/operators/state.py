@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.operators.mutate import mutate
+from larkspur.plans.mutations import Step
+
 KEY = ("namespace", "key")
 
 
@@ -88,3 +91,17 @@ def describe(versions: DataFrame) -> DataFrame:
     """Metadata of every key, without reading a document."""
     columns = [c for c in ("version", "state_etag", "query_hidden", "updated_at_unix", "removed", "committed") if c in versions.columns]
     return latest(versions.select(*KEY, *columns))
+
+
+def mutate_local(versions: DataFrame, keys: DataFrame, plan: list[Step], fetched_cas: bool = True) -> DataFrame:
+    """The versions that a plan appends to ``keys(namespace, key)``: read, rewrite, write.
+
+    A key without content begins as ``{}``. With ``fetched_cas`` the version and
+    etag that were read become the condition of the write.
+    """
+    now = latest(versions, public=False).select(*KEY, "doc", "version", "state_etag")
+    read = keys.select(*KEY).join(now, list(KEY), "left")
+    condition = F.when(F.lit(fetched_cas) & (F.col("version") > 0), F.col("version"))
+    tag = F.when(F.lit(fetched_cas), F.col("state_etag"))
+    made = mutate(read, plan).select(*KEY, "doc", condition.alias("if_version"), tag.alias("if_state_etag"))
+    return update(versions, made)

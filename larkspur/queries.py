@@ -284,6 +284,17 @@ def state_public_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(staged, public=True).select("key", "version")
 
 
+@query(
+    f"""SELECT key, version + 1 AS version, concat('{{"k":', TRY_CAST(json_extract(doc, '/k') AS BIGINT) + 1, ',"seen":true}}') AS doc FROM {_LATEST} WHERE NOT removed AND version % 2 = 0
+    UNION ALL SELECT printf('new/%d', r_regionkey), 1, '{{"k":1,"seen":true}}' FROM region"""
+)
+def state_mutate_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _user_versions(spark, sf_dir)
+    old = state.latest(versions).where("version % 2 = 0").select("namespace", "key")
+    new = _table(spark, sf_dir, "region").select(F.lit("default").alias("namespace"), F.format_string("new/%d", "r_regionkey").alias("key"))
+    return state.mutate_local(versions, old.union(new), Parser().plan(["/k++", "/seen=true"])).select("key", "version", "doc")
+
+
 # --- leases
 
 
@@ -351,9 +362,32 @@ def lease_fenced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.fenced_writes(rows.where("fencing_token % 2 = 0"), rows).select("key", "fencing_token")
 
 
+@query(
+    f"""SELECT key, coalesce(l.version, 0) + 1 AS version, '{{"seen":' || coalesce(l.version, 0) || '}}' AS doc FROM (SELECT DISTINCT key FROM {_REQUESTS}) r
+    LEFT JOIN (SELECT key, max(expires_at_unix) AS until FROM {_LEASES} GROUP BY key) h USING (key) LEFT JOIN (SELECT * FROM {_LATEST} WHERE NOT removed) l USING (key) WHERE coalesce(h.until, 0) <= {NOW}"""
+)
+def lease_acquire_for_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def handler(seen: DataFrame) -> DataFrame:
+        return seen.select("namespace", "key", F.to_json(F.struct(F.coalesce("version", F.lit(0)).alias("seen"))).alias("doc"))
+
+    made = leases.acquire_for_update(_leases(spark, sf_dir), _user_versions(spark, sf_dir), _requests(spark, sf_dir), NOW, handler)
+    return made.staged.select("key", "version", "doc")
+
+
 # --- queues
 
 
+@query(f"SELECT queue, message_id, not_visible_until_unix, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes FROM {_MESSAGES}")
+def queue_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("queue", "message_id", "not_visible_until_unix", "payload_bytes")
+
+
+@query(f"SELECT message_id, 'defer' AS kind, CAST(45 AS BIGINT) AS delay_seconds FROM {_MESSAGES} WHERE message_id % 5 = 0")
+def queue_nack_defer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _message_events(spark, sf_dir).where("kind = 'ack'")
+    return queues.nack(given, "defer", 45).select("message_id", "kind", "delay_seconds")
+
+
 @query(f"SELECT queue, message_id FROM {_MESSAGES} WHERE {_READY}")
 def queue_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).withColumn("failure_attempts", F.lit(0)).where(queues.deliverable(F.lit(NOW))).select("queue", "message_id")
@@ -457,6 +491,18 @@ def attachment_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(stored.where("id % 3 = 0").select("id"), "id", "left_anti").select("id", "name")
 
 
+@query("SELECT count(*) AS deleted_count FROM pages WHERE page_id % 10 = 3")
+def attachment_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attachments.delete(attachments.listing(_attachments(spark, sf_dir), "default", "site/3"))[1]
+
+
+@query("SELECT page_id AS id, html AS payload FROM pages WHERE url = (SELECT min(url) FROM pages)")
+def attachment_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _attachments(spark, sf_dir)
+    first = stored.agg(F.min("name").alias("name"))
+    return stored.join(first, "name", "left_semi").select("id", "payload")
+
+
 # --- scalar functions
 
 
@@ -558,6 +604,20 @@ def tc_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.leader(terms).select("leader_id", "term")
 
 
+@query(f"SELECT event_id, user_id % 4 = event_id % 4 OR event_id % 10 = 0 OR CAST(floor(epoch(ts)) AS BIGINT) <= {NOW} OR user_id > event_id AS granted FROM events")
+def tc_lease_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    asked = e.select("event_id", (F.col("user_id") % 4).alias("candidate"), F.col("user_id").alias("term"), F.when(F.col("event_id") % 10 != 0, F.col("event_id") % 4).alias("held_by"), F.col("event_id").alias("held_term"), _seconds().alias("held_until"))
+    return catalog.leader_decisions(asked, NOW).select("event_id", F.col("granted").alias("granted"))
+
+
+@query("SELECT o_orderkey AS txn_id, 'commit' AS state, l_suppkey AS backend_hash FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0")
+def txn_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    grouped = lines.groupBy(F.col("l_orderkey").alias("txn_id")).agg(F.collect_set(F.struct(F.col("l_suppkey").alias("backend_hash"))).alias("participants"))
+    return catalog.participants(grouped.withColumn("state", F.lit("commit")))
+
+
 @query(
     """SELECT user_id AS txn_id, coalesce(arg_min(CASE event_type WHEN 'purchase' THEN 'commit' ELSE 'rollback' END, event_id) FILTER (event_type IN ('purchase', 'error')), 'prepare') AS state
     FROM events WHERE event_type IN ('purchase', 'error', 'view') GROUP BY user_id"""
