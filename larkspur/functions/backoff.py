@@ -31,3 +31,8 @@ def is_fatal(code: Column, http_status: Column) -> Column:
 def extend_after_ms(visibility_seconds: Column) -> Column:
     """When to extend a delivery: half its visibility, from 250 ms to 30 s."""
     return F.greatest(F.lit(250), F.least(F.lit(30_000), (visibility_seconds * 500).cast("long"))).cast("long")
+
+
+def subscribe_action(server_code: Column) -> Column:
+    """What a subscriber does about a server's answer: try again, go to the next endpoint, end, or fail."""
+    return F.when(server_code.isin("waiting", "cas_mismatch"), "retry").when(server_code == "node_passive", "next_endpoint").when(server_code == "cancelled", "end").otherwise("fail")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import pointers
@@ -125,3 +125,8 @@ def build_index(docs: DataFrame, fields: Iterable[tuple[str, str]]) -> tuple[Dat
 def write_index(indexed: DataFrame, path: str) -> None:
     """Write an index table by namespace, sorted by key, so keyset pages skip row groups."""
     indexed.repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key").write.mode("overwrite").partitionBy("namespace").parquet(path)
+
+
+def refresh(spark: SparkSession, path: str) -> None:
+    """Forget what is cached of a table's files, so the next query reads what was written last."""
+    spark.catalog.refreshByPath(path)
