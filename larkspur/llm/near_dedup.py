@@ -15,8 +15,9 @@
    of a bucket, rounds first compare all members with one leader and merge
    what is linked; a later round only looks at buckets that still hold
    several classes, under another leader. After ``LEADER_ROUNDS`` of these,
-   all pairs of a bucket that lie in different classes are compared, so no
-   link between classes is lost.
+   the members outside a bucket's largest class are the queries of a search
+   over the whole bucket, in blocks of bounded size on both sides, so no link
+   between classes is lost and no table of pairs is made.
 5. *Classes* are the connected components of links.
 
 Equal texts are collapsed first, and every class is named by its least id.
@@ -49,6 +50,8 @@ BANDS, ROWS = 12, 4
 #: Cells of the document-frequency sketch, and the size of the table of random draws.
 CELLS, DRAWS = 1 << 18, 1 << 16
 LEADER_ROUNDS = 4
+#: Queries and members of a bucket that meet in one group of the last search, about.
+QUERY_BLOCK, MEMBER_BLOCK = 256, 512
 #: Tasks that the members of one text's copies are spread over when they get their class.
 SALTS = 16
 
@@ -221,29 +224,77 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(higher, "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "node-labels")
 
 
+def _leader_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets with several classes, each with the bucket's leader of this turn."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
+    open_ones = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("leader"))
+    open_ones = open_ones.where("least != most").select("bucket", F.col("leader.node").alias("b"), F.col("leader.label").alias("of"))
+    return placed.join(open_ones, "bucket").where(F.col("label") != F.col("of")).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _searched(placed: DataFrame, texts: DataFrame, frequency: Frequency, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that the leaders did not find.
+
+    A pair is compared in the first band both texts share, and a query that is
+    linked to a class is not compared with more of that class in its group.
+    Buckets of two were settled by their leader.
+    """
+    shared = placed.sparkSession.sparkContext.broadcast(frequency)
+    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    stats = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("big"))
+    stats = stats.where("m > largest and m > 2").select("bucket", "big", F.ceil((F.col("m") - F.col("largest")) / QUERY_BLOCK).cast("int").alias("queries"), F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("blocks"))
+    inside = placed.join(stats, "bucket")
+    spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = inside.select("bucket", "node", "label", spot("blocks", 1).alias("mb"), every("queries").alias("qb"))
+    queries = inside.where(F.col("label") != F.col("big")).select("bucket", "node", "label", spot("queries", 2).alias("qb"), every("blocks").alias("mb"))
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def parse(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        text = pa.input_stream(pa.py_buffer(packed), compression="zstd").read()
+        _, hashes, often = shingles(pa.array([text], pa.binary()))
+        return hashes, shared.value.weight(hashes, often)
+
+    def bands(table: pa.Table) -> np.ndarray:
+        return table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found: tuple[list[bytes], list[bytes]] = ([], [])
+        if len(asked) and len(held):
+            nodes, packed, labels, keys = held["node"].to_pylist(), held["packed"].to_pylist(), held["label"].to_pylist(), bands(held)
+            here = int(np.flatnonzero(keys[0] == held["bucket"][0].as_py())[0])
+            parsed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for node, text, label, key in zip(asked["node"].to_pylist(), asked["packed"].to_pylist(), asked["label"].to_pylist(), bands(asked), strict=True):
+                mine, done = parse(text), {label}
+                for i in np.flatnonzero((keys == key).argmax(axis=1) == here).tolist():
+                    if labels[i] in done:
+                        continue
+                    if i not in parsed:
+                        parsed[i] = parse(packed[i])
+                    if weighted_jaccard(mine, parsed[i]) >= threshold:
+                        done.add(labels[i])
+                        found[0].append(node)
+                        found[1].append(nodes[i])
+        return pa.table([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=schema.names)
+
+    on, columns = ["bucket", "mb", "qb"], ["bucket", "mb", "qb", "node", "label", "packed", "bands"]
+    # columns of their own for both sides, which come from the same tables
+    asked, held = (side.join(texts, "node").select(columns).toDF(*columns) for side in (queries, members))
+    return asked.groupBy(*on).cogroup(held.groupBy(*on)).applyInArrow(search, schema)
+
+
 def _label_nodes(members: DataFrame, texts: DataFrame, frequency: Frequency, threshold: float) -> DataFrame:
-    """``node, label`` of all candidate nodes, by leader rounds and then all pairs between classes."""
-    nodes = members.select("node").distinct()
-    labels = materialize(nodes.select("node", F.col("node").alias("label")), "node-labels")
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(labels, "node")
-        if turn < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-            open_ones = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("leader"))
-            open_ones = open_ones.where("least != most").select("bucket", F.col("leader.node").alias("b"), F.col("leader.label").alias("of"))
-            pairs = placed.join(open_ones, "bucket").where(F.col("label") != F.col("of")).select(F.col("node").alias("a"), "b")
-        else:
-            mixed = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("bucket")
-            one = placed.join(mixed, "bucket")
-            other = one.select("bucket", F.col("node").alias("b"), F.col("label").alias("of"))
-            pairs = one.join(other, "bucket").where(F.col("label") < F.col("of")).select(F.col("node").alias("a"), "b")
-        pairs = materialize(pairs.distinct(), "pairs")
+    """``node, label`` of all candidate nodes, by leader rounds and then a search of what they left."""
+    labels = materialize(members.select("node", F.col("node").alias("label")).distinct(), "node-labels")
+    for turn in range(LEADER_ROUNDS):
+        pairs = materialize(_leader_pairs(members.join(labels, "node"), turn), "pairs")
         if pairs.isEmpty():
-            break
-        links = materialize(_verified(pairs, texts, frequency, threshold), "links")
+            return labels
+        links = materialize(_verified(pairs, texts.drop("bands"), frequency, threshold), "links")
         if not links.isEmpty():
             labels = _merge(labels, links)
-    return labels
+    links = materialize(_searched(members.join(labels, "node"), texts, frequency, threshold), "links")
+    return labels if links.isEmpty() else _merge(labels, links)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -258,7 +309,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     source = docs.select(_digest(F.col(text_col)).alias("node"), _id_text(F.col(id_col)).alias("_nd_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     # by text and id, so the copies of one text do not meet in one task
     found = source.join(wanted, ["node", "_nd_key"], "left_semi").dropDuplicates(["node", "_nd_key"]).select("node", "text")
-    labels = _label_nodes(members, materialize(_pack(found), "candidates"), frequency, threshold)
+    texts = materialize(_pack(found).join(nodes.select("node", "bands"), "node"), "candidates")
+    labels = _label_nodes(members, texts, frequency, threshold)
     named = nodes.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     of_node = named.select("node", "label").join(ids, "label").select("node", "class_id", "class_size")
