@@ -151,6 +151,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / both if both else 0.0
 
 
+def _parsed(packed: bytes, frequency: Frequency) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes and weights of a packed text."""
+    text = pa.input_stream(pa.py_buffer(packed), compression="zstd").read()
+    _, hashes, often = shingles(pa.array([text], pa.binary()))
+    return hashes, frequency.weight(hashes, often)
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
@@ -196,20 +203,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequency: Frequency, threshol
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
-    def parse(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        text = pa.input_stream(pa.py_buffer(packed), compression="zstd").read()
-        _, hashes, often = shingles(pa.array([text], pa.binary()))
-        return hashes, shared.value.weight(hashes, often)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, tuple] = (b"", ())
         for batch in batches:
             keep = []
-            for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                del a
+            for b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 if last[0] != b:  # a leader's pairs often stand together
-                    last = (b, parse(text_b))
-                keep.append(weighted_jaccard(parse(text_a), last[1]) >= threshold)
+                    last = (b, _parsed(text_b, shared.value))
+                keep.append(weighted_jaccard(_parsed(text_a, shared.value), last[1]) >= threshold)
             chosen = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=schema.names)
 
@@ -250,11 +251,6 @@ def _searched(placed: DataFrame, texts: DataFrame, frequency: Frequency, thresho
     queries = inside.where(F.col("label") != F.col("big")).select("bucket", "node", "label", spot("queries", 2).alias("qb"), every("blocks").alias("mb"))
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
-    def parse(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-        text = pa.input_stream(pa.py_buffer(packed), compression="zstd").read()
-        _, hashes, often = shingles(pa.array([text], pa.binary()))
-        return hashes, shared.value.weight(hashes, often)
-
     def bands(table: pa.Table) -> np.ndarray:
         return table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
 
@@ -265,12 +261,12 @@ def _searched(placed: DataFrame, texts: DataFrame, frequency: Frequency, thresho
             here = int(np.flatnonzero(keys[0] == held["bucket"][0].as_py())[0])
             parsed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for node, text, label, key in zip(asked["node"].to_pylist(), asked["packed"].to_pylist(), asked["label"].to_pylist(), bands(asked), strict=True):
-                mine, done = parse(text), {label}
+                mine, done = _parsed(text, shared.value), {label}
                 for i in np.flatnonzero((keys == key).argmax(axis=1) == here).tolist():
                     if labels[i] in done:
                         continue
                     if i not in parsed:
-                        parsed[i] = parse(packed[i])
+                        parsed[i] = _parsed(packed[i], shared.value)
                     if weighted_jaccard(mine, parsed[i]) >= threshold:
                         done.add(labels[i])
                         found[0].append(node)
@@ -299,6 +295,11 @@ def _label_nodes(members: DataFrame, texts: DataFrame, frequency: Frequency, thr
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: ``id_col, class_id`` (least id of the class), ``class_size``."""
+    return _classed(docs, id_col, text_col, threshold).drop("node", "label")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """As :func:`classes`, with the digest of each text as ``node`` and the class's own ``label``."""
     frequency = document_frequency(docs, text_col)
     signed = materialize(_signatures(docs, frequency, id_col, text_col), "signatures")
     nodes = materialize(signed.groupBy("node").agg(F.min("_nd_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
@@ -313,14 +314,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     labels = _label_nodes(members, texts, frequency, threshold)
     named = nodes.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = named.select("node", "label").join(ids, "label").select("node", "class_id", "class_size")
+    of_node = named.select("node", "label").join(ids, "label").select("node", "label", "class_id", "class_size")
     light = signed.select(F.col("_nd_id").alias(id_col), "node", F.pmod(F.xxhash64("_nd_id"), F.lit(SALTS)).alias("_nd_salt"))
     spread = light.select("node", "_nd_salt").distinct().join(of_node, "node")
-    return light.join(spread, ["node", "_nd_salt"]).select(id_col, "class_id", "class_size")
+    return light.join(spread, ["node", "_nd_salt"]).select(id_col, "class_id", "class_size", "node", "label")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the least id of every class, as it was; repeated rows leave one."""
-    first = classes(docs, threshold=threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(_id_text(F.col("doc_id")).alias("_nd_key")).distinct()
-    keyed = docs.withColumn("_nd_key", _id_text(F.col("doc_id")))
-    return keyed.join(first, "_nd_key", "left_semi").dropDuplicates(["_nd_key"]).select(docs.columns)
+    """The document with the least id of every class, as it was; repeated rows leave one.
+
+    Where rows of a class share that id, the one whose text has the least digest stays.
+    """
+    named = _classed(docs, "doc_id", "text", threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = named.groupBy("label", _id_text(F.col("doc_id")).alias("_nd_key")).agg(F.min("node").alias("_nd_node"))
+    keyed = docs.withColumn("_nd_key", _id_text(F.col("doc_id"))).withColumn("_nd_node", _digest(F.col("text")))
+    return keyed.join(first, ["_nd_key", "_nd_node"], "left_semi").dropDuplicates(["_nd_key", "_nd_node"]).select(docs.columns)

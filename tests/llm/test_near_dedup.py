@@ -106,3 +106,11 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.label for r in rows} == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(3, text), (5, text), (5, "quite another text with words of its own here"), (5, "quite another text with words of its own here")], "doc_id long, text string")
+    docs = docs.union(spark.createDataFrame([(5, "a third text that is like none of the other two texts")], docs.schema))
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
+    assert kept == [(3, text), (5, "a third text that is like none of the other two texts"), (5, "quite another text with words of its own here")]
