@@ -20,6 +20,8 @@ executor gives the same ids. No shuffle.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ from tokenizers import Tokenizer
 from larkspur.llm.pretokens import pieces
 from larkspur.llm.text_arrays import slices
 
-#: Distinct pre-tokens whose ids one Python worker keeps at most.
-KEPT = 500_000
+#: Distinct pre-tokens whose ids one Python worker keeps at most, in two generations.
+KEPT = 1_000_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class PieceIds:
@@ -47,22 +50,37 @@ class PieceIds:
         added = self.library.get_added_tokens_decoder()
         self.special = next((t.content for t in added.values()), "")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         parts, counts = pieces(texts, self.special)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        for p, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(made.ids, "<u4").tobytes()
-        found, out, at = [known[p] for p in parts], [], 0
+        if len(self.known) > KEPT // 2:  # what stays in use moves to the new generation
+            self.known, self.older = {}, self.known
+        found: list[bytes | None] = list(map(self.known.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn({parts[i] for i in missing})
+            for i in missing:
+                found[i] = self.known[parts[i]]
+        out, at = [], 0
         for n in counts.tolist():
             out.append(b"".join(found[at : at + n]))
             at += n
         return out
 
+    def _learn(self, parts: set[str]) -> None:
+        known, older = self.known, self.older
+        new = []
+        for p in parts:
+            ids = older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        for p, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = array("I", made.ids).tobytes() if _LITTLE else np.array(made.ids, "<u4").tobytes()
+
 
 def piece_lengths(n: int, longest: int = 1024) -> list[int]:
     """``longest`` as often as it fits, then the binary digits of the rest, falling."""
