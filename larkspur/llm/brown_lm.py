@@ -52,7 +52,7 @@ SWEEPS = 4
 #: Weight of class unigrams in P(class | class before), as a count.
 PRIOR = 2.0
 #: Bytes of text in a block of the counting pass.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _SLOT_SHIFT = np.uint64(47)
 
 

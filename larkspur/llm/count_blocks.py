@@ -1,8 +1,8 @@
 """Summing large fixed-size count vectors over all tasks.
 
 A task packs its counts into blocks of ``BLOCK`` numbers and emits one row for
-each block. Blocks are added in two rounds, first by block and salt and then
-by block, so no task reads the blocks of more than a share of all map tasks.
+each block. Blocks are added in two rounds, first over ``TASKS`` neighbouring
+map tasks and then over all, so no group holds a row of every map task.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1 << 13
-SALTS = 64
+BLOCK = 1 << 16
+#: Map tasks whose blocks meet in the first round.
+TASKS = 256
 
 SCHEMA = T.StructType(
     [
@@ -32,7 +33,7 @@ SCHEMA = T.StructType(
 def emit(vectors: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of a task: the non-zero blocks of its vectors."""
     context = TaskContext.get()
-    salt = context.partitionId() % SALTS if context else 0
+    salt = context.partitionId() // TASKS if context else 0
     for name, vector in vectors.items():
         for block, at in enumerate(range(0, len(vector), BLOCK)):
             part = vector[at : at + BLOCK]
