@@ -7,12 +7,12 @@ never merged:
 
 1. inside every map task (Spark's partial aggregation), so a group of copies
    leaves a task as one row, whatever its size;
-2. by digest, content and salt, which spreads the rows of a hot group over
-   ``salts`` tasks;
+2. by digest, content and salt (the map task's number), which spreads what
+   the map tasks found of a hot group over ``salts`` tasks;
 3. by digest and content over the salt winners.
 
-Only ids and digests, no texts, go through the join that gives every document
-its group; should two contents ever share a digest that join could not tell
+Only ids, digests and salts, no texts, go through the join that gives every
+document its group; should two contents ever share a digest that join could not tell
 them apart, so the query stops with an error instead of guessing.
 
 Defined cases: null and empty texts are one group; rows with the same doc_id
@@ -48,7 +48,7 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     content = docs.select(
         F.col(id_col).alias("_xd_id"),
         normalized(F.col(text_col)).alias("_xd_text"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("_xd_salt"),
+        (F.spark_partition_id() % salts).alias("_xd_salt"),
     )
     salted = (
         content.withColumn("_xd_digest", digest(F.col("_xd_text")))
@@ -68,9 +68,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns ``id_col, keep_id, group_size long, kept boolean, text_sha256``.
     """
-    best = winners(docs, id_col, text_col, salts)
-    light = docs.select(F.col(id_col).alias("_xd_id"), digest(normalized(F.col(text_col))).alias("_xd_digest"))
-    return light.join(best, "_xd_digest").select(
+    light = docs.select(
+        F.col(id_col).alias("_xd_id"),
+        digest(normalized(F.col(text_col))).alias("_xd_digest"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("_xd_salt"),
+    )
+    # the winner of a group meets its members in as many tasks as the group has salts
+    best = light.select("_xd_digest", "_xd_salt").distinct().join(winners(docs, id_col, text_col, salts), "_xd_digest")
+    return light.join(best, ["_xd_digest", "_xd_salt"]).select(
         F.col("_xd_id").alias(id_col),
         "keep_id",
         "group_size",
