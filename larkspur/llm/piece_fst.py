@@ -30,9 +30,11 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +44,9 @@ from larkspur.llm.text_arrays import slices
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Word paths, and arcs of the order acceptor, that one worker keeps at most.
-KEPT = 600_000
+KEPT = 300_000
+#: Ids that are decoded at a time.
+SLICE_IDS = 1 << 17
 #: Fixed values of the model file: field and type numbers of its messages.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, BYTE, MODEL_BPE = 1, 2, 6, 2
@@ -106,15 +110,23 @@ class PieceTransducer:
         self.byte = {int(self.texts[i][3:5], 16): i for i, k in enumerate(kinds) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.unknown = {i for i, k in enumerate(kinds) if k == UNKNOWN}
-        self.trie: dict = {}
+        # what every id spells; bytes are joined to characters apart
+        self.spelled = [t.replace(BLANK, " ") if t in self.id else UNKNOWN_TEXT if i in self.unknown else "" for i, t in enumerate(self.texts)]
+        self.is_byte = np.array([k == BYTE for k in kinds], bool)
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.order: dict[tuple[int, int], float] = {}
+        self.words: dict[str, bytes] = {}
+
+    @cached_property
+    def trie(self) -> dict:
+        """The piece transducer: nested maps by character, with the id under the empty text. Only encoding needs it."""
+        root: dict = {}
         for text, i in self.id.items():
-            node = self.trie
+            node = root
             for c in text:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.parts: dict[int, tuple[int, int] | None] = {}
-        self.order: dict[tuple[int, int], float] = {}
-        self.words: dict[str, bytes] = {}
+        return root
 
     # --- normaliser
     def normalize(self, text: str) -> str:
@@ -209,21 +221,26 @@ class PieceTransducer:
                     known[w] = array("i", self.path(w)).tobytes()
             return b"".join([known[w] for w in words])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces spelled, bytes joined, blanks restored, the leading blank dropped."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(_lenient(bytes(raw)))
-                raw.clear()
-            out.append(self.texts[i] if self.texts[i] in self.id else UNKNOWN_TEXT if i in self.unknown else "")
-        if raw:
-            out.append(_lenient(bytes(raw)))
-        text = "".join(out)
-        return (text[1:] if self.prefix and text.startswith(BLANK) else text).replace(BLANK, " ")
+        spelled, listed = self.spelled, ids.tolist()
+        if self.is_byte[ids].any():
+            out, raw = [], bytearray()
+            for i in listed:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                if raw:
+                    out.append(_lenient(bytes(raw)))
+                    raw.clear()
+                out.append(spelled[i])
+            text = "".join([*out, _lenient(bytes(raw))])
+        else:
+            text = "".join([spelled[i] for i in listed])
+        # the blank before the text was put there by the normaliser
+        first = next((i for i in listed if spelled[i] or i in self.byte_of), None)
+        dropped = self.prefix and first is not None and first not in self.byte_of and first not in self.unknown and text.startswith(" ")
+        return text[1:] if dropped else text
 
 
 def _lenient(raw: bytes) -> str:
@@ -288,8 +305,16 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = _transducer(model.value)
         for batch in batches:
-            texts = [None if ids is None else transducer.decode(ids) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            column = batch.column(place)
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(batch):  # some rows at a time, so their texts are not all held at once
+                done = int(ends[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_IDS, "right")))
+                part = batch.slice(begin, end - begin)
+                texts = [None if row.values is None else transducer.decode(row.values.to_numpy()) for row in part.column(place)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
+                begin = end
 
     return encoded.select(*kept).mapInArrow(run, schema)
 

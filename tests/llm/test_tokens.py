@@ -81,7 +81,7 @@ def test_any_text(text):
     assert token_counts.count_texts([text], counter)[0] == len(library.encode(text, add_special_tokens=False).ids)
     ids = np.frombuffer(pieces.encode(text), np.int32).tolist()
     assert ids == sp.encode(text)
-    assert pieces.decode(ids) == text.replace("▁", " ")
+    assert pieces.decode(np.array(ids, np.int32)) == text.replace("▁", " ")
 
 
 def test_count_query_on_odd_rows(odd, empty, library):
@@ -122,9 +122,14 @@ def test_pieces_equal_the_library(pieces):
     for text in [*mixed(2000, 6), " " * 40, "▁" * 33 + "a", "a" + " " * 17 + "b"]:
         ids = np.frombuffer(pieces.encode(text), np.int32).tolist()
         assert ids == sp.encode(text)
-        assert pieces.decode(ids) == sp.decode(ids)
+        assert pieces.decode(np.array(ids, np.int32)) == sp.decode(ids)
     for ids in ([0, 300], [3 + 0xE6, 3 + 0x97], [3 + 0x97, 500, 3 + 0xC3, 3 + 0xA9], [1, 2, 400]):
-        assert pieces.decode(ids) == sp.decode(ids)
+        assert pieces.decode(np.array(ids, np.int32)) == sp.decode(ids)
+
+
+def test_null_ids_decode_to_null(spark):
+    rows = piece_fst.decode(spark.createDataFrame([(1, [300, 400]), (2, None), (3, [])], "doc_id long, ids array<int>"), MODEL).collect()
+    assert [(r.doc_id, r.decoded is None) for r in rows] == [(1, False), (2, True), (3, False)] and rows[2].decoded == ""
 
 
 def test_piece_query_on_odd_rows(odd, empty):
