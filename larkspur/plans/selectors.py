@@ -5,7 +5,9 @@ scalar; any other object is a shorthand whose top-level names must all equal
 their values. Types are strict: the number 1 and the text "1" differ. ``and``,
 ``or``, ``not``, ``exists``, ``in``, ``prefix`` and ``range`` are extensions
 of this library. Fields that a table keeps as columns of their own (an
-*index*) are read from there, so Parquet can skip row groups by them.
+*index*) are read from there, so Parquet can skip row groups by them. A condition on a field that is missing is null, which a
+filter takes as false; only ``not`` turns null to false first, so all other
+conditions on index columns reach the scan.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ class Selector:
         tree = json.loads(selector) if isinstance(selector, str) and selector else selector
         if not isinstance(tree, dict) or not tree:
             raise SelectorError("a selector must be a JSON object that is not empty")
-        return F.coalesce(self._any(tree), F.lit(False))
+        return self._any(tree)
 
     def _any(self, tree: dict) -> Column:
         if len(tree) == 1:
@@ -53,10 +55,10 @@ class Selector:
         return self._equals(body["field"], body["value"])
 
     def _op_and(self, body: list) -> Column:
-        return self._all([F.coalesce(self._any(b), F.lit(False)) for b in body])
+        return self._all([self._any(b) for b in body])
 
     def _op_or(self, body: list) -> Column:
-        return reduce(lambda a, b: a | b, [F.coalesce(self._any(b), F.lit(False)) for b in body])
+        return reduce(lambda a, b: a | b, [self._any(b) for b in body])
 
     def _op_not(self, body: dict) -> Column:
         return ~F.coalesce(self._any(body), F.lit(False))
@@ -65,7 +67,7 @@ class Selector:
         return self._variant(body["field"]).isNotNull()
 
     def _op_in(self, body: dict) -> Column:
-        return reduce(lambda a, b: a | b, [F.coalesce(self._equals(body["field"], v), F.lit(False)) for v in body["values"]])
+        return reduce(lambda a, b: a | b, [self._equals(body["field"], v) for v in body["values"]])
 
     def _op_prefix(self, body: dict) -> Column:
         return self._typed(body["field"], "string").startswith(body["value"])
