@@ -14,8 +14,10 @@ A model file is compiled to the parts of one transducer:
 
 The composition with a text is searched for its shortest path in the tropical
 semiring (min, +). As no piece has a U+2581 behind another character (checked
-when compiling), the composition falls apart at words, and the path of a word is
-found once for each word a worker meets.
+when compiling), the composition falls apart at words. A word falls apart again
+between two characters that stand side by side in no piece: no piece spells
+both, and no merge reaches across, so the order costs nothing there. The path of
+a word, and of such a span, is found once for each that a worker meets.
 
 Defined cases: null counts as empty and has no pieces; texts of any length are
 encoded whole; an invalid byte sequence decodes to U+FFFD; repeated rows are
@@ -43,8 +45,8 @@ from larkspur.llm.text_arrays import slices
 
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Word paths, and arcs of the order acceptor, that one worker keeps at most.
-KEPT = 300_000
+#: Words, spans and arcs of the order acceptor that one worker keeps, of each at most.
+KEPT = 250_000
 #: Ids that are decoded at a time.
 SLICE_IDS = 1 << 17
 #: Fixed values of the model file: field and type numbers of its messages.
@@ -106,6 +108,8 @@ class PieceTransducer:
         self.id = {t: i for i, (t, k) in enumerate(zip(self.texts, kinds, strict=True)) if k == NORMAL}
         if any(BLANK in t.lstrip(BLANK) for t in self.id):
             raise ValueError("a piece reaches over the end of a word")
+        if any(c not in self.id for t in self.id for c in t):
+            raise ValueError("a piece has a character that is no piece")
         self.cost = [-s for s in scores]
         self.byte = {int(self.texts[i][3:5], 16): i for i, k in enumerate(kinds) if k == BYTE}
         self.byte_of = {i: b for b, i in self.byte.items()}
@@ -114,20 +118,27 @@ class PieceTransducer:
         self.spelled = [t.replace(BLANK, " ") if t in self.id else UNKNOWN_TEXT if i in self.unknown else "" for i, t in enumerate(self.texts)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.order: dict[tuple[int, int], float] = {}
+        self.order: dict[int, float] = {}
         self.words: dict[str, bytes] = {}
+        self.spans: dict[str, bytes] = {}
 
     @cached_property
-    def trie(self) -> dict:
-        """The piece transducer: nested maps by character, with the id under the empty text. Only encoding needs it."""
-        root: dict = {}
+    def trie(self) -> dict[str, list]:
+        """The piece transducer: from a character to the next map and the piece spelled so far, or -1. Only encoding needs it."""
+        root: dict[str, list] = {}
         for text, i in self.id.items():
-            node = root
+            below = root
             for c in text:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = below.setdefault(c, [{}, -1])
+                below = node[0]
+            node[1] = i
         return root
 
+    @cached_property
+    def beside(self) -> set[tuple[str, str]]:
+        """Pairs of characters that stand side by side in a piece."""
+        return {pair for text in self.id for pair in zip(text, text[1:], strict=False)}
+
     # --- normaliser
     def normalize(self, text: str) -> str:
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
@@ -154,11 +165,12 @@ class PieceTransducer:
 
     def follows(self, a: int, b: int) -> float:
         """Cost of piece ``b`` behind ``a``: 0, or infinity where a merge would reach across."""
-        known = self.order.get((a, b))
+        arc = a * len(self.texts) + b
+        known = self.order.get(arc)
         if known is None:
             if len(self.order) >= KEPT:
                 self.order.clear()
-            known = self.order[a, b] = self._follows(a, b)
+            known = self.order[arc] = self._follows(a, b)
         return known
 
     def _follows(self, a: int, b: int) -> float:
@@ -176,38 +188,59 @@ class PieceTransducer:
                 limit, reached, b = self.cost[b], True, of_b[0]
 
     # --- shortest path
-    def path(self, word: str) -> list[int]:
-        """Pieces on the shortest path through the composition with a normalised word."""
-        n = len(word)
-        # states by position: last piece -> (cost, position before, piece before)
-        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, -1, -1)
+    def path(self, span: str) -> list[int]:
+        """Pieces on the shortest path through the composition with a span of a normalised text.
+
+        The order acceptor takes one sequence of pieces for every text, so a
+        position of the span has at most one state of finite cost, which the
+        position itself can stand for.
+        """
+        n, trie, costs, order, follows, pieces = len(span), self.trie, self.cost, self.order, self.follows, len(self.texts)
+        least, last, before = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        least[0] = 0.0
         for at in range(n):
-            if not states[at]:
+            cost = least[at]
+            if cost == math.inf:
                 continue
-            node, end, found = self.trie, at, False
-            while end < n and (node := node.get(word[end])) is not None:
+            a, below, end, found = last[at], trie, at, False
+            arcs = a * pieces
+            while end < n and (node := below.get(span[end])) is not None:
+                below, piece = node
                 end += 1
-                piece = node.get("")
-                if piece is None:
+                if piece < 0:
                     continue
-                found = found or end == at + 1
-                for last, (cost, _, _) in states[at].items():
-                    total = cost + self.cost[piece] + (self.follows(last, piece) if last >= 0 else 0.0)
-                    if total < states[end].get(piece, (math.inf,))[0]:
-                        states[end][piece] = (total, at, last)
+                found = True
+                if least[end] < math.inf:
+                    continue
+                if a >= 0:
+                    weight = order.get(arcs + piece)
+                    total = cost + costs[piece] + (follows(a, piece) if weight is None else weight)
+                else:
+                    total = cost + costs[piece]
+                if total < math.inf:
+                    least[end], last[end], before[end] = total, piece, at
             if not found:  # no piece for this character: its bytes, after which anything can follow
-                last, (cost, _, _) = min(states[at].items(), key=lambda s: s[1][0])
-                if cost < states[at + 1].get(-1, (math.inf,))[0]:
-                    states[at + 1][-1] = (cost, at, last)
-        piece, (_, before, last) = min(states[n].items(), key=lambda s: s[1][0])
+                least[at + 1], before[at + 1] = cost, at
         at, out = n, []
         while at:
-            out.append([piece] if piece >= 0 else [self.byte[b] for b in word[before:at].encode()])
-            at, piece = before, last
-            before, last = states[at][piece][1:] if at else (-1, -1)
+            out.append([last[at]] if last[at] >= 0 else [self.byte[b] for b in span[before[at] : at].encode()])
+            at = before[at]
         return [i for part in reversed(out) for i in part]
 
+    def _word(self, word: str) -> bytes:
+        beside, known = self.beside, self.spans
+        cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in beside]
+        if len(known) > KEPT:
+            known.clear()
+        out = []
+        for begin, end in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            span = word[begin:end]
+            ids = known.get(span)
+            if ids is None:
+                ids = known[span] = array("i", self.path(span)).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers."""
         words, known = _WORDS.findall(self.normalize(text)), self.words
@@ -218,7 +251,7 @@ class PieceTransducer:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = array("i", self.path(w)).tobytes()
+                    known[w] = self._word(w)
             return b"".join([known[w] for w in words])
 
     def decode(self, ids: np.ndarray) -> str:

@@ -138,3 +138,29 @@ def test_piece_query_on_odd_rows(odd, empty):
     rows = both.withColumn("ok", piece_fst.round_trips("text", "decoded")).collect()
     assert all(r.ok and r.ids == sp.encode(r.text or "") for r in rows) and len(rows) == odd.count()
     assert piece_fst.encode(empty, MODEL).collect() == []
+
+
+def all_paths(pieces, text):
+    """Every accepted sequence of pieces for a text that pieces can spell."""
+    found, open_ = [], [(0, ())]
+    while open_:
+        at, ids = open_.pop()
+        if at == len(text):
+            found.append(list(ids))
+        for end in range(at + 1, len(text) + 1):
+            i = pieces.id.get(text[at:end])
+            if i is not None and (not ids or pieces.follows(ids[-1], i) == 0):
+                open_.append((end, (*ids, i)))
+    return found
+
+
+def test_one_path_is_accepted_and_it_is_the_shortest(pieces):
+    rng = random.Random(9)
+    for text in ["".join(rng.choice("▁theandiorsTN.,!é0") for _ in range(rng.randint(1, 9))) for _ in range(400)]:
+        assert all_paths(pieces, text) == [pieces.path(text)]
+
+
+def test_spans_of_a_word_meet_where_no_piece_reaches(pieces):
+    for word in ("▁and,", "▁the.\nBy", "▁x!!日本é"):
+        whole = pieces.path(word)
+        assert np.frombuffer(pieces._word(word), np.int32).tolist() == whole
