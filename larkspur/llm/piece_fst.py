@@ -15,9 +15,9 @@ A model file is compiled to the parts of one transducer:
 The composition with a text is searched for its shortest path in the tropical
 semiring (min, +). As no piece has a U+2581 behind another character (checked
 when compiling), the composition falls apart at words. A word falls apart again
-between two characters that stand side by side in no piece: no piece spells
-both, and no merge reaches across, so the order costs nothing there. The path of
-a word, and of such a span, is found once for each that a worker meets.
+between characters that no chain of pieces links, such as a letter and a full
+stop: no piece spells both, and no merge reaches across, so the order costs
+nothing there. The path of such a span is found once for each a worker meets.
 
 Defined cases: null counts as empty and has no pieces; texts of any length are
 encoded whole; an invalid byte sequence decodes to U+FFFD; repeated rows are
@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -44,9 +44,8 @@ from pyspark.sql import types as T
 from larkspur.llm.text_arrays import slices
 
 BLANK = "▁"
-_WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Words, spans and arcs of the order acceptor that one worker keeps, of each at most.
-KEPT = 250_000
+#: Spans, and arcs of the order acceptor, that one worker keeps, of each at most.
+KEPT = 300_000
 #: Ids that are decoded at a time.
 SLICE_IDS = 1 << 17
 #: Fixed values of the model file: field and type numbers of its messages.
@@ -82,6 +81,21 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Kept(dict):
+    """Values made when first asked for; all are dropped when there are ``KEPT``."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.make(key)
+        if len(self) >= KEPT:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PieceTransducer:
     """Compiled model: normaliser, pieces, byte fallback and order."""
 
@@ -118,9 +132,8 @@ class PieceTransducer:
         self.spelled = [t.replace(BLANK, " ") if t in self.id else UNKNOWN_TEXT if i in self.unknown else "" for i, t in enumerate(self.texts)]
         self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.order: dict[int, float] = {}
-        self.words: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] = {}
+        self.order = Kept(lambda arc: self._follows(*divmod(arc, len(self.texts))))
+        self.spans = Kept(lambda span: array("i", self.path(span)).tobytes())
 
     @cached_property
     def trie(self) -> dict[str, list]:
@@ -135,9 +148,16 @@ class PieceTransducer:
         return root
 
     @cached_property
-    def beside(self) -> set[tuple[str, str]]:
-        """Pairs of characters that stand side by side in a piece."""
-        return {pair for text in self.id for pair in zip(text, text[1:], strict=False)}
+    def borders(self) -> re.Pattern:
+        """Finds the spans of a normalised text: blanks, then characters that pieces link, directly or through others."""
+        group: dict[str, set[str]] = {}
+        for text in self.id:
+            linked = set(text.lstrip(BLANK))
+            for other in {id(group[c]): group[c] for c in linked if c in group}.values():
+                linked |= other
+            group |= dict.fromkeys(linked, linked)
+        runs = ["".join(sorted(g)) for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
+        return re.compile(f"{BLANK}*(?:{''.join(f'[{re.escape(r)}]+|' for r in sorted(runs))}[^{BLANK}])|{BLANK}+")
 
     # --- normaliser
     def normalize(self, text: str) -> str:
@@ -165,13 +185,7 @@ class PieceTransducer:
 
     def follows(self, a: int, b: int) -> float:
         """Cost of piece ``b`` behind ``a``: 0, or infinity where a merge would reach across."""
-        arc = a * len(self.texts) + b
-        known = self.order.get(arc)
-        if known is None:
-            if len(self.order) >= KEPT:
-                self.order.clear()
-            known = self.order[arc] = self._follows(a, b)
-        return known
+        return self.order[a * len(self.texts) + b]
 
     def _follows(self, a: int, b: int) -> float:
         limit, reached = math.inf, False  # merges cheaper than the limit (or as cheap, if reached) come first
@@ -195,64 +209,45 @@ class PieceTransducer:
         position of the span has at most one state of finite cost, which the
         position itself can stand for.
         """
-        n, trie, costs, order, follows, pieces = len(span), self.trie, self.cost, self.order, self.follows, len(self.texts)
-        least, last, before = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        n, trie, costs, order, arc, pieces = len(span), self.trie, self.cost, self.order, self.order.get, len(self.texts)
+        least, last, before, never = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1), math.inf
         least[0] = 0.0
-        for at in range(n):
+        for at, c in enumerate(span):
             cost = least[at]
-            if cost == math.inf:
+            if cost == never:
                 continue
-            a, below, end, found = last[at], trie, at, False
+            if least[n] != never:
+                break
+            node = trie.get(c)
+            if node is None:  # no piece for this character: its bytes, after which anything can follow
+                least[at + 1], before[at + 1] = cost, at
+                continue
+            a, end = last[at], at
             arcs = a * pieces
-            while end < n and (node := below.get(span[end])) is not None:
+            while node is not None:
                 below, piece = node
                 end += 1
-                if piece < 0:
-                    continue
-                found = True
-                if least[end] < math.inf:
-                    continue
-                if a >= 0:
-                    weight = order.get(arcs + piece)
-                    total = cost + costs[piece] + (follows(a, piece) if weight is None else weight)
-                else:
+                if piece >= 0 and least[end] == never:
                     total = cost + costs[piece]
-                if total < math.inf:
-                    least[end], last[end], before[end] = total, piece, at
-            if not found:  # no piece for this character: its bytes, after which anything can follow
-                least[at + 1], before[at + 1] = cost, at
+                    if a >= 0:
+                        weight = arc(arcs + piece)
+                        total += order[arcs + piece] if weight is None else weight
+                    if total != never:
+                        least[end], last[end], before[end] = total, piece, at
+                node = below.get(span[end]) if end < n else None
         at, out = n, []
         while at:
-            out.append([last[at]] if last[at] >= 0 else [self.byte[b] for b in span[before[at] : at].encode()])
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += [self.byte[b] for b in reversed(span[before[at] : at].encode())]
             at = before[at]
-        return [i for part in reversed(out) for i in part]
-
-    def _word(self, word: str) -> bytes:
-        beside, known = self.beside, self.spans
-        cuts = [i for i, pair in enumerate(zip(word, word[1:], strict=False), 1) if pair not in beside]
-        if len(known) > KEPT:
-            known.clear()
-        out = []
-        for begin, end in zip([0, *cuts], [*cuts, len(word)], strict=True):
-            span = word[begin:end]
-            ids = known.get(span)
-            if ids is None:
-                ids = known[span] = array("i", self.path(span)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        out.reverse()
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers."""
-        words, known = _WORDS.findall(self.normalize(text)), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > KEPT:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+        return b"".join(map(self.spans.__getitem__, self.borders.findall(self.normalize(text))))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces spelled, bytes joined, blanks restored, the leading blank dropped."""
@@ -308,11 +303,22 @@ def _model(df: DataFrame, path: str):  # noqa: ANN202
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with an array of piece ids. No shuffle."""
+def _encoded(transducer: PieceTransducer, texts: pa.Array) -> pa.ListArray:
+    ids = [transducer.encode(t or "") for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _decoded(transducer: PieceTransducer, ids: pa.ListArray) -> pa.StringArray:
+    return pa.array([None if row.values is None else transducer.decode(row.values.to_numpy()) for row in ids], pa.string())
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with an array of piece ids and, if ``decoded`` names a column, the text that the ids decode to. No shuffle."""
     model = _model(docs, model_path)
-    kept = [c for c in docs.columns if c != out]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType()))])
+    kept = [c for c in docs.columns if c not in (out, decoded)]
+    made = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *made])
     place = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +326,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
         for batch in batches:
             for begin, end in slices(batch.column(place)):
                 part = batch.slice(begin, end - begin)
-                ids = [transducer.encode(t or "") for t in part.column(place).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+                ids = _encoded(transducer, part.column(place))
+                back = [_decoded(transducer, ids)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *back], names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -345,8 +350,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str =
                 done = int(ends[begin - 1]) if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, done + SLICE_IDS, "right")))
                 part = batch.slice(begin, end - begin)
-                texts = [None if row.values is None else transducer.decode(row.values.to_numpy()) for row in part.column(place)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(transducer, part.column(place))], names=schema.names)
                 begin = end
 
     return encoded.select(*kept).mapInArrow(run, schema)

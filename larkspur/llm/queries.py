@@ -33,8 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path(PIECES)
-    both = piece_fst.decode(piece_fst.encode(_documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    both = piece_fst.encode(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(PIECES), decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", piece_fst.round_trips("text", "decoded").alias("round_trip"))
 
 

@@ -137,6 +137,8 @@ def test_piece_query_on_odd_rows(odd, empty):
     both = piece_fst.decode(piece_fst.encode(odd, MODEL), MODEL)
     rows = both.withColumn("ok", piece_fst.round_trips("text", "decoded")).collect()
     assert all(r.ok and r.ids == sp.encode(r.text or "") for r in rows) and len(rows) == odd.count()
+    at_once = piece_fst.encode(odd, MODEL, decoded="decoded").collect()
+    assert sorted(map(repr, at_once)) == sorted(map(repr, both.collect()))
     assert piece_fst.encode(empty, MODEL).collect() == []
 
 
@@ -160,7 +162,8 @@ def test_one_path_is_accepted_and_it_is_the_shortest(pieces):
         assert all_paths(pieces, text) == [pieces.path(text)]
 
 
-def test_spans_of_a_word_meet_where_no_piece_reaches(pieces):
-    for word in ("▁and,", "▁the.\nBy", "▁x!!日本é"):
-        whole = pieces.path(word)
-        assert np.frombuffer(pieces._word(word), np.int32).tolist() == whole
+def test_paths_of_spans_join_to_the_path_of_the_text(pieces):
+    for text in ("▁and,", "▁the.\nBy", "▁x!!日本é", "▁▁▁", "▁a▁▁b▁", "▁Об.the获取]-^"):
+        spans = pieces.borders.findall(text)
+        assert "".join(spans) == text
+        assert [i for s in spans for i in pieces.path(s)] == pieces.path(text)
