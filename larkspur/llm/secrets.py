@@ -48,7 +48,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ACCOUNT = re.compile(r"""(?:user(?:name)?|client_id|account_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", _FLAGS)
-_RANDOM = re.compile(r"(?<![A-Za-z0-9+/=])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", re.ASCII)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", re.ASCII)
 _ENDPOINT = re.compile(r"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]+""", _FLAGS)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 

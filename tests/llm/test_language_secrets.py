@@ -91,3 +91,26 @@ def test_redaction_takes_effect_and_spares_clean_rows(spark, odd, empty):
     same = secrets.redact(odd)
     assert sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
     assert secrets.redact(empty).collect() == [] == secrets.find_spans(empty).collect()
+
+
+KEY_ID = "AKIA" + "Q7" * 8
+#: A 40-character secret directly behind '=' or ':', next to its key id: text, kinds reported, redacted text.
+PAIRS = [
+    (1, f"AWS_ACCESS_KEY_ID={KEY_ID}\nAWS_SECRET_ACCESS_KEY={RANDOM}\n", ["access", "random"], "AWS_ACCESS_KEY_ID=[access]\nAWS_SECRET_ACCESS_KEY=[random]\n"),
+    (2, f"[default]\naws_access_key_id={KEY_ID}\naws_secret_access_key={RANDOM}", ["access", "random"], "[default]\naws_access_key_id=[access]\naws_secret_access_key=[random]"),
+    (3, f"export AWS_SECRET_ACCESS_KEY='{RANDOM}' AWS_ACCESS_KEY_ID={KEY_ID}", ["random", "access"], "export AWS_SECRET_ACCESS_KEY='[random]' AWS_ACCESS_KEY_ID=[access]"),
+    (4, f"id:{KEY_ID} key:{RANDOM}", ["access", "random"], "id:[access] key:[random]"),
+    (5, f"?AWSAccessKeyId={KEY_ID}&sig={RANDOM}&x=1", ["access", "random"], "?AWSAccessKeyId=[access]&sig=[random]&x=1"),
+    (6, f"https://files.example.org/a?sig={RANDOM}", ["endpoint", "random"], "[endpoint]"),
+    (7, f"KEY={RANDOM}", [], f"KEY={RANDOM}"),
+    (8, f"{KEY_ID} KEY={RANDOM}=", ["access"], f"[access] KEY={RANDOM}="),
+    (9, f"{KEY_ID} KEY={RANDOM}x", ["access"], f"[access] KEY={RANDOM}x"),
+]
+
+
+def test_secret_behind_an_equals_sign_is_linked_and_redacted(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in PAIRS], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_spans(docs).collect()}
+    assert got == {i: near(t) for i, t, _, _ in PAIRS}
+    assert {i: [k for k, _, _ in spans] for i, spans in got.items()} == {i: kinds for i, _, kinds, _ in PAIRS}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: t for i, _, _, t in PAIRS}
