@@ -4,24 +4,26 @@ P(text) is the product over its words of P(class | class before) times
 P(word | class), closed by the end token, which is a class of its own. Classes
 come from exchange clustering, as a sequence of Spark jobs:
 
-* The table word -> class must reach every task. Its size is fixed: words are
-  hashed into ``SLOTS`` slots, and a slot has a class (frequent words own
-  theirs in effect, as their mass drowns what shares it). Counts, unlike
-  classes, are kept for every word exactly.
-* A *sweep* reads the training texts once and adds up, for every slot, how
-  often each class stands before and behind it (fixed-size blocks, summed
-  over all tasks). Then every block of slots, in its own task, looks for the
-  class of each slot that raises the likelihood most, given the class bigrams
-  of all. Sweeps move alternate halves of the slots, so words that go together
-  do not keep passing each other.
-* Word counts: texts are read in blocks; a block numbers its distinct words.
-  (word, block) rows are summed by word, and each block gets the counts of the
-  words it holds, and no more, next to the bags of words of its documents. So
-  no task and no broadcast holds the vocabulary.
+* Texts are read one time, in blocks. A block numbers its distinct words and
+  keeps its texts as sequences of these numbers.
+* Every word has a class of its own. The table word -> class stays distributed
+  in *parts* by the word's 64-bit hash, about ``PART_BYTES`` of text for each;
+  a block gets the classes of the words it holds, and no more. (Two words with
+  equal hashes would share a class, not their counts.)
+* A *sweep* adds up, in every block, how often each class stands before and
+  behind each word, and sums that by part. Then every part, in its own task,
+  looks for the class of each word that raises the likelihood most, given the
+  class bigrams of all. Sweeps move alternate halves of the words, so words
+  that go together do not keep passing each other.
+* A sweep that does not raise the likelihood is taken back. Sweeps end when
+  neither half raises it by more than ``TOLERANCE``.
+* Word counts: (word, block) rows are summed by word, and each block gets the
+  counts of the words it holds next to its texts. So no task and no broadcast
+  holds the vocabulary.
 
 Smoothing: class bigrams are interpolated with class unigrams (weight
 ``PRIOR``), and P(word | class) = (c + 0.5) / (N_class + 0.5 (V_class + 1)),
-where the 1 stands for unknown words.
+where the 1 stands for unknown words; these are in the last word class.
 
 Defined cases: null and empty texts have the end token alone; without training
 texts all counts are 0 and scores are still finite; long texts are read whole;
@@ -36,7 +38,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,129 +48,228 @@ from larkspur.llm import count_blocks
 from larkspur.llm.text_arrays import Words, slices, text_bytes
 from larkspur.shared import materialize
 
-#: Places of the word -> class table, and classes with the end token's, the last.
-SLOTS, CLASSES = 1 << 17, 32
+#: Classes with the end token's, the last.
+CLASSES = 32
 END = CLASSES - 1
-SWEEPS = 4
+#: Nats a token by which a sweep of either half must raise the likelihood for sweeps to go on.
+TOLERANCE = 1e-3
 #: Weight of class unigrams in P(class | class before), as a count.
 PRIOR = 2.0
-#: Bytes of text in a block of the counting pass.
-BLOCK_BYTES = 8 << 20
-_SLOT_SHIFT = np.uint64(47)
+#: Bytes of text in a block, and for each part of the class table.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
+#: Contexts that are weighed at once.
+_CHUNK = 1 << 16
 
 
-def _sequence(words: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens, each text closed by the end token, and the places of words in it."""
-    at = np.arange(len(words)) + words.doc
-    out = np.full(len(words) + len(words.counts), END, np.int64)
-    out[at] = classes[(words.hash >> _SLOT_SHIFT).astype(np.int64)]
-    return out, at
+def _pack(values: np.ndarray, kind: str = "<i4") -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), "zstd", asbytes=True)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], place: int = 0) -> Iterator[Words]:
-    for batch in batches:
-        column = batch.column(place)
-        for begin, end in slices(column):
-            yield Words(*text_bytes(column.slice(begin, end - begin)))
+def _unpack(packed: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(pa.input_stream(pa.py_buffer(packed), compression="zstd").read(), kind)
 
 
-def slot_counts(texts: DataFrame) -> np.ndarray:
-    """How often each slot occurs."""
+def _join(packed: list[bytes], kind: str = "<i4") -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unpack(p, kind) for p in packed)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for words in _texts(batches):
-            total += np.bincount((words.hash >> _SLOT_SHIFT).astype(np.int64), minlength=SLOTS)
-        yield from count_blocks.emit({"slots": total})
 
-    rows = count_blocks.total(texts.mapInArrow(run, count_blocks.SCHEMA))
-    return count_blocks.to_arrays(rows, SLOTS).get("slots", np.zeros(SLOTS, np.int64))
+def _closed(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens, each text closed by the end token; the words, their places, and the texts' word counts."""
+    each = [_unpack(t) for t in texts]
+    counts = np.array([len(e) for e in each], np.int64)
+    words = np.concatenate([np.zeros(0, "<i4"), *each]).astype(np.int64)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(each)), counts)
+    tokens = np.full(len(words) + len(each), END, np.int64)
+    tokens[at] = table[words]
+    return tokens, words, at, counts
+
+
+_NUMBERED = "part int, block long, numbers binary, lids binary"
+
+
+def number_words(packets: DataFrame) -> DataFrame:
+    """Numbers of words in their part, for each block that holds them.
+
+    Two more rows for each part: block -1 with the training counts of all its
+    words, and block -2 with the most frequent ones and their counts.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = [_unpack(d, "<u8") for d in table["data"].to_pylist()]
+        halves = [_unpack(n).reshape(2, -1) for n in table["numbers"].to_pylist()]
+        known, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.bincount(number, np.concatenate([h[1] for h in halves]), len(known)).astype(np.int64)
+        top = np.argsort(-counts, kind="stable")[: END - 1]
+        cuts = np.cumsum([len(h) for h in hashes])[:-1]
+        part = table["part"][0].as_py()
+        return pa.table(
+            {
+                "part": pa.array([part] * (len(hashes) + 2), pa.int32()),
+                "block": pa.array([*table["block"].to_pylist(), -1, -2], pa.int64()),
+                "numbers": pa.array([*map(_pack, np.split(number, cuts)), _pack(counts, "<i8"), _pack(top)], pa.binary()),
+                "lids": pa.array([*(_pack(h[0]) for h in halves), None, _pack(counts[top], "<i8")], pa.binary()),
+            }
+        )
+
+    return materialize(packets.groupBy("part").applyInArrow(run, _NUMBERED), "word-numbers")
 
 
-def context_counts(texts: DataFrame, classes: np.ndarray, contexts: bool = True) -> DataFrame:
-    """Summed blocks of ``pairs`` (class bigrams) and, per slot, ``before`` and ``behind``."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
+def first_classes(numbered: DataFrame) -> DataFrame:
+    """The most frequent words as the only members of their classes, all others in the last word class."""
+    found = []
+    for row in numbered.where("block = -2").toLocalIterator():  # END - 1 words of each part
+        counts = _unpack(bytes(row["lids"]), "<i8").tolist()
+        found += [(-c, row["part"], i) for c, i in zip(counts, _unpack(bytes(row["numbers"])).tolist(), strict=True) if c]
+    alone: dict[int, list[tuple[int, int]]] = {}
+    for c, (_, part, i) in enumerate(sorted(found)[: END - 1]):
+        alone.setdefault(part, []).append((i, c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = {"pairs": np.zeros(CLASSES * CLASSES, np.int64)}
-        if contexts:
-            vectors |= {"before": np.zeros(SLOTS * CLASSES, np.int32), "behind": np.zeros(SLOTS * CLASSES, np.int32)}
-        for words in _texts(batches):
-            tokens, at = _sequence(words, shared.value)
-            previous = np.concatenate([[END], tokens[:-1]])
-            vectors["pairs"] += np.bincount(previous * CLASSES + tokens, minlength=CLASSES * CLASSES)
-            if contexts:
-                slot = (words.hash >> _SLOT_SHIFT).astype(np.int64) * CLASSES
-                np.add.at(vectors["before"], slot + previous[at], 1)
-                np.add.at(vectors["behind"], slot + tokens[at + 1], 1)
-        yield from count_blocks.emit(vectors)
+        for batch in batches:
+            packed = []
+            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                classes = np.full(len(_unpack(counts, "<i8")), END - 1, np.uint8)
+                for i, c in alone.get(part, []):
+                    classes[i] = c
+                packed.append(_pack(classes, "u1"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["part", "classes"])
+
+    return materialize(numbered.where("block = -1").select("part", "numbers").mapInArrow(run, "part int, classes binary"), "classes")
+
+
+def labelled(numbered: DataFrame, classes: DataFrame) -> DataFrame:
+    """The numbered words of each block with their classes."""
 
-    return count_blocks.total(texts.mapInArrow(run, count_blocks.SCHEMA))
+    def run(words: pa.Table, table: pa.Table) -> pa.Table:
+        own = _unpack(table["classes"][0].as_py(), "u1")
+        return words.append_column("classes", pa.array([_pack(own[_unpack(n)], "u1") for n in words["numbers"].to_pylist()], pa.binary()))
 
+    packets = numbered.where("block >= 0")
+    return packets.groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(run, _NUMBERED + ", classes binary")
 
-def _pairs(summed: DataFrame) -> np.ndarray:
-    found = count_blocks.to_arrays(summed.where("name = 'pairs'"), CLASSES * CLASSES)
-    return found.get("pairs", np.zeros(CLASSES * CLASSES, np.int64)).reshape(CLASSES, CLASSES)
+
+def context_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Contexts of words by part and block, and in part -1 the class bigrams of the block.
+
+    A context's key is its word's number times 64, the class before, or the
+    class behind plus 32.
+    """
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        lids = _join(words["lids"].to_pylist())
+        table, place = np.zeros(len(lids), np.uint8), np.zeros(len(lids), np.int64)
+        table[lids] = _join(words["classes"].to_pylist(), "u1")
+        place[lids] = np.arange(len(lids))
+        tokens, seen, at, _ = _closed(table, texts["data"].to_pylist())
+        previous = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
+        pairs = np.bincount(previous * CLASSES + tokens, minlength=CLASSES * CLASSES)
+        where = place[seen] * 64
+        keys, counts = np.unique(np.concatenate([where + previous[at], where + 32 + tokens[at + 1]]), return_counts=True)
+        out, base = [(-1, None, _pack(pairs, "<i8"))], 0
+        for part, packed in zip(words["part"].to_pylist(), words["numbers"].to_pylist(), strict=True):
+            number = _unpack(packed).astype(np.int64)
+            a, b = np.searchsorted(keys, [base * 64, (base + len(number)) * 64])
+            if b > a:
+                own = number[(keys[a:b] >> 6) - base] * 64 + (keys[a:b] & 63)
+                out.append((part, _pack(np.diff(own, prepend=0), "<i8"), _pack(counts[a:b])))
+            base += len(number)
+        columns = zip(*out, strict=True)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "counts"])
+
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(run, "part int, keys binary, counts binary")
+
+
+def _pairs(contexts: DataFrame) -> np.ndarray:
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(_unpack(p, "<i8") for p in table["counts"].to_pylist())
+        return pa.table({"counts": pa.array([_pack(total, "<i8")], pa.binary())})
+
+    salted = contexts.where("part = -1").withColumn("salt", F.floor(F.rand(1) * 32))
+    rows = salted.groupBy("salt").applyInArrow(add, "counts binary").collect()
+    return sum((_unpack(bytes(r["counts"]), "<i8") for r in rows), np.zeros(CLASSES * CLASSES, np.int64)).reshape(CLASSES, CLASSES)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_classes(before: np.ndarray, behind: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For each slot the word class that gains most likelihood from holding it.
+def likelihood(pairs: np.ndarray) -> float:
+    """Nats a token that class bigrams add to word unigrams."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum()) / max(int(pairs.sum()), 1)
 
-    ``before`` and ``behind`` are slots x classes; the slot's own counts are
-    taken off its present class first. Slots that never occur stay.
-    """
-    n = before.sum(axis=1)
-    gain = np.empty((len(own), END))
-    rows, columns = pairs.sum(axis=1), pairs.sum(axis=0)
-    for c in range(END):
-        mine = (own == c)[:, None]
-        row = np.maximum(pairs[c][None, :] - np.where(mine, behind, 0), 0)
-        column = np.maximum(pairs[:, c][None, :] - np.where(mine, before, 0), 0)
-        as_row = np.maximum(rows[c] - np.where(mine[:, 0], n, 0), 0)
-        as_column = np.maximum(columns[c] - np.where(mine[:, 0], n, 0), 0)
-        gain[:, c] = (_xlogx(row + behind) - _xlogx(row)).sum(axis=1) + (_xlogx(column + before) - _xlogx(column)).sum(axis=1)
-        gain[:, c] -= _xlogx(as_row + n) - _xlogx(as_row) + _xlogx(as_column + n) - _xlogx(as_column)
-    return np.where(n > 0, gain.argmax(axis=1), own)
-
-
-def _exchange(summed: DataFrame, classes: np.ndarray, pairs: np.ndarray, half: int) -> np.ndarray:
-    """New classes of the slots of one half, found block by block in tasks."""
-    shared = summed.sparkSession.sparkContext.broadcast((classes, pairs))
-    slots = count_blocks.BLOCK // CLASSES
 
-    def run(table: pa.Table) -> pa.Table:
-        counts = {r["name"]: count_blocks.unpack(r["counts"]).reshape(slots, CLASSES) for r in table.to_pylist()}
-        block = table["block"][0].as_py()
-        own = shared.value[0][block * slots : (block + 1) * slots].astype(np.int64)
-        none = np.zeros((slots, CLASSES), np.int64)
-        best = best_classes(counts.get("before", none), counts.get("behind", none), own, shared.value[1])
-        turn = np.arange(slots) % 2 == half
-        return pa.table({"block": pa.array([block], pa.int32()), "classes": pa.array([np.where(turn, best, own).astype(np.uint8).tobytes()], pa.binary())})
-
-    made = summed.where("name != 'pairs'").groupBy("block").applyInArrow(run, "block int, classes binary")
-    out = classes.copy()
-    for row in made.toLocalIterator():  # SLOTS bytes in all
-        out[row["block"] * slots : (row["block"] + 1) * slots] = np.frombuffer(bytes(row["classes"]), np.uint8)
-    return out
-
-
-def cluster(texts: DataFrame, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all slots, and the class bigrams under them.
-
-    The most frequent slots start as the only members of their classes, all
-    others in the last word class.
+def _gains(word: np.ndarray, behind: np.ndarray, other: np.ndarray, count: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Gain of each word in each word class, from its contexts, ordered by word."""
+    n = np.bincount(word, np.where(behind, 0, count), len(own))[:, None]
+    there = np.where(behind[:, None], pairs[:END, :].T[other], pairs[:, :END][other])
+    there = np.maximum(there - np.where(own[word][:, None] == np.arange(END), count[:, None], 0), 0)
+    each = _xlogx(there + count[:, None]) - _xlogx(there)
+    gain = np.zeros((len(own), END))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(first):
+        gain[word[first]] = np.add.reduceat(each, first, axis=0)
+    for margin in (pairs.sum(axis=1), pairs.sum(axis=0)):
+        whole = np.maximum(margin[None, :END] - np.where(own[:, None] == np.arange(END), n, 0), 0)
+        gain -= _xlogx(whole + n) - _xlogx(whole)
+    return gain
+
+
+def best_classes(before: np.ndarray, behind: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each word the word class that gains most likelihood from holding it.
+
+    ``before`` and ``behind`` are words x classes; the word's own counts are
+    taken off its present class first. Words that never occur stay.
     """
-    classes = np.full(SLOTS, END - 1, np.uint8)
-    top = np.argsort(-slot_counts(texts), kind="stable")[: END - 1]
-    classes[top] = np.arange(len(top))
-    for sweep in range(sweeps):
-        summed = materialize(context_counts(texts, classes), "class-contexts")
-        classes = _exchange(summed, classes, _pairs(summed), sweep % 2)
-    return classes, _pairs(context_counts(texts, classes, contexts=False))
+    both = np.concatenate([before, behind], axis=1)
+    word, other = np.nonzero(both)
+    gain = _gains(word, other >= CLASSES, other % CLASSES, both[word, other], own, pairs)
+    return np.where(before.sum(axis=1) > 0, gain.argmax(axis=1), own)
+
+
+def exchange(contexts: DataFrame, classes: DataFrame, pairs: np.ndarray, half: int) -> DataFrame:
+    """New classes of the words of one half, found part by part in tasks."""
+
+    def run(found: pa.Table, table: pa.Table) -> pa.Table:
+        own = _unpack(table["classes"][0].as_py(), "u1").astype(np.int64)
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(k, "<i8")) for k in found["keys"].to_pylist())])
+        counts = _join(found["counts"].to_pylist()).astype(np.int64)
+        mine = (keys >> 6) % 2 == half
+        keys, counts = keys[mine], counts[mine]
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        if len(first):
+            keys, counts = keys[first], np.add.reduceat(counts, first)
+        word, made, a = keys >> 6, own.copy(), 0
+        while a < len(keys):
+            b = int(np.searchsorted(word, word[min(a + _CHUNK, len(keys)) - 1], "right"))  # whole words
+            some, number = np.unique(word[a:b], return_inverse=True)
+            gain = _gains(number, (keys[a:b] & 32) > 0, keys[a:b] & 31, counts[a:b], own[some], pairs)
+            made[some] = gain.argmax(axis=1)
+            a = b
+        return pa.table({"part": table["part"].slice(0, 1), "classes": pa.array([_pack(made, "u1")], pa.binary())})
+
+    moved = contexts.where("part >= 0").groupBy("part").cogroup(classes.groupBy("part"))
+    return materialize(moved.applyInArrow(run, "part int, classes binary"), "classes")
+
+
+def cluster(texts: DataFrame, numbered: DataFrame, sweeps: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Classes of all words by part, and the class bigrams under them; at most ``sweeps`` sweeps, where given."""
+
+    def measured(classes: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        contexts = context_counts(texts, labelled(numbered, classes)).persist(StorageLevel.DISK_ONLY)
+        return classes, contexts, _pairs(contexts)
+
+    now = measured(first_classes(numbered))
+    done = idle = 0
+    while idle < 2 and (sweeps is None or done < sweeps):
+        tried = measured(exchange(now[1], now[0], now[2], done % 2))
+        rise = likelihood(tried[2]) - likelihood(now[2])
+        done, idle = done + 1, 0 if rise > TOLERANCE else idle + 1
+        now, left = (tried, now) if rise > 0 else (now, tried)
+        left[1].unpersist()
+    now[1].unpersist()
+    return now[0], now[2]
 
 
 @dataclass(frozen=True)
@@ -182,40 +284,38 @@ class ClassBigrams:
         return cls(np.log10((pairs + prior * unigram) / (pairs.sum(axis=1, keepdims=True) + prior)))
 
 
-def _bag(lids: np.ndarray, often: np.ndarray) -> bytes:
-    return pa.compress(np.concatenate([np.diff(lids, prepend=0), often]).astype("<i4").tobytes(), "zstd", asbytes=True)
+def class_totals(numbered: DataFrame, classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and different words of each class in the training texts."""
 
+    def run(counts: pa.Table, table: pa.Table) -> pa.Table:
+        c, own = _unpack(counts["numbers"][0].as_py(), "<i8"), _unpack(table["classes"][0].as_py(), "u1")
+        n, v = np.bincount(own, c, CLASSES).astype(np.int64), np.bincount(own[c > 0], minlength=CLASSES)
+        return pa.table({"class": pa.array(np.arange(CLASSES)), "n": pa.array(n), "v": pa.array(v)})
 
-def _open_bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(pa.input_stream(pa.py_buffer(packed), compression="zstd").read(), "<i4")
-    half = len(both) // 2
-    return np.cumsum(both[:half]), both[half:]
+    each = numbered.where("block = -1").groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(run, "class long, n long, v long")
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in each.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r["class"]], v[r["class"]] = r["n"], r["v"]
+    return n, v
 
 
-#: Rows of the counting pass: of a document (word is null) or of a word in a block.
-_ENCODED = "block long, doc_id {id}, held_out boolean, n_words long, transitions double, class_counts array<int>, bag binary, word string, lid int, class int, trained long"
+#: Rows of the reading pass: of a document (part and word are null), of a block's words in a part, or of a word in a block.
+_ENCODED = "block long, part int, doc_id {id}, held_out boolean, data binary, numbers binary, word string, lid int, trained long"
 
 
-def _encode(docs: DataFrame, classes: np.ndarray, bigrams: ClassBigrams) -> DataFrame:
-    """Documents as bags of block-numbered words, and the words of each block with their training counts."""
-    shared = docs.sparkSession.sparkContext.broadcast((classes, bigrams.log10))
+def _encode(docs: DataFrame, parts: int) -> DataFrame:
+    """Documents as sequences of block-numbered words, and the words of each block with their training counts."""
     schema = T.StructType.fromDDL(_ENCODED.format(id=docs.schema["doc_id"].dataType.simpleString()))
-    arrow = [pa.int64(), None, pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    arrow = [pa.int64(), pa.int32(), None, pa.bool_(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
 
     def rows(n: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
         kinds = [k or id_type for k in arrow]
         return pa.RecordBatch.from_arrays([columns.get(f, pa.nulls(n, k)) for f, k in zip(schema.names, kinds, strict=True)], names=schema.names)
 
     def block_rows(block: int, ids: pa.Array, held: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
-        table, log10 = shared.value
-        hashes, data, starts, sizes, counts, scores, tallies, base = [], [], [], [], [], [], [], 0
+        hashes, data, starts, sizes, counts, base = [], [], [], [], [], 0
         for begin, end in slices(column):
             words = Words(*text_bytes(column.slice(begin, end - begin)))
-            tokens, _ = _sequence(words, table)
-            previous = np.concatenate([[END], tokens[:-1]])
-            text = np.repeat(np.arange(end - begin), words.counts + 1)
-            scores.append(np.bincount(text, log10[previous, tokens], end - begin))
-            tallies.append(np.bincount(text * CLASSES + tokens, minlength=(end - begin) * CLASSES).reshape(-1, CLASSES))
             hashes.append(words.hash)
             starts.append(words.start + base)
             sizes.append(words.end - words.start)
@@ -243,24 +343,27 @@ def _encode(docs: DataFrame, classes: np.ndarray, bigrams: ClassBigrams) -> Data
                 block=pa.array(np.full(n, block)),
                 word=text.slice(at, n),
                 lid=pa.array(np.arange(at, at + n), pa.int32()),
-                **{"class": pa.array(table[(known[order[part]] >> _SLOT_SHIFT).astype(np.int64)], pa.int32())},
                 trained=pa.array(trained[part]),
             )
-        pair, much = np.unique(doc * max(len(known), 1) + lid, return_counts=True)
-        cuts = np.searchsorted(pair, np.arange(len(count) + 1) * max(len(known), 1))
-        lids = pair % max(len(known), 1)
-        bags = [_bag(lids[a:b], much[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        tally = np.concatenate(tallies).astype(np.int32)
+        home = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in the order of hashes
+        own, first = np.unique(home, return_index=True)
+        packets = [(known[a:b], np.concatenate([rank[a:b], trained[rank[a:b]]])) for a, b in zip(first, [*first[1:], len(known)], strict=True)]
+        yield rows(
+            len(own),
+            ids.type,
+            block=pa.array(np.full(len(own), block)),
+            part=pa.array(own, pa.int32()),
+            data=pa.array([_pack(h, "<u8") for h, _ in packets], pa.binary()),
+            numbers=pa.array([_pack(n) for _, n in packets], pa.binary()),
+        )
+        cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
         yield rows(
             len(count),
             ids.type,
             block=pa.array(np.full(len(count), block)),
             doc_id=ids,
             held_out=pa.array(held),
-            n_words=pa.array(count.astype(np.int64)),
-            transitions=pa.array(np.concatenate(scores)),
-            class_counts=pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1) * CLASSES, pa.int32()), tally.ravel()),
-            bag=pa.array(bags, pa.binary()),
+            data=pa.array([_pack(lid[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,25 +390,26 @@ def _encode(docs: DataFrame, classes: np.ndarray, bigrams: ClassBigrams) -> Data
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", sweeps: int | None = None) -> DataFrame:
     """Scores of all documents under the model of those whose fold is not held out.
 
     ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``
     (log10; ``base_score`` is that of add-half unigrams), ``perplexity``.
     """
     split = docs.select(F.col(id_col).alias("doc_id"), (count_blocks.bucket(id_col, folds) == fold).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-    classes, pairs = cluster(split.where(~F.col("held_out")).select("text"), sweeps)
-    encoded = materialize(_encode(split, classes, ClassBigrams.of(pairs)), "encoded")
+    size = split.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    encoded = materialize(_encode(split, 1 + size // PART_BYTES), "encoded")
+    numbered = number_words(encoded.where("part is not null").select("part", "block", "data", "numbers"))
+    read = encoded.where("word is null and part is null")
+    classes, pairs = cluster(read.where("not held_out").select("block", "data"), numbered, sweeps)
     of_word = Window.partitionBy("word")
-    words = encoded.where("word is not null").select("block", "lid", "class", "word", "trained")
-    counted = words.select("block", "lid", "class", F.sum("trained").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
+    words = encoded.where("word is not null").select("block", "lid", "word", "trained")
+    counted = words.select("block", "lid", F.sum("trained").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
     counted = materialize(counted, "word-counts")
-    per_class = counted.where("first and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class:
-        n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
+    known = counted.where("first and c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n_class, v_class = class_totals(numbered, classes)
     ends = int(pairs[:, END].sum())
-    n_all, v_all = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
+    n_all, v_all = int(known["n"] or 0) + ends, known["v"] + (ends > 0)
     below_class = np.log10(n_class + 0.5 * (v_class + 1))
     below_class[END] = 0.0  # the end class has one member
     below_base, of_end = float(np.log10(n_all + 0.5 * (v_all + 1))), float(np.log10(ends + 0.5))
@@ -318,18 +422,21 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
         ]
     )
 
-    def run(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        c = np.zeros(len(vocabulary), np.int64)
+    log10 = ClassBigrams.of(pairs).log10
+
+    def run(found: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        is_text = pc.is_null(found["part"])
+        texts, packets = found.filter(is_text), found.filter(pc.invert(is_text))
+        c, table = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.uint8)
         c[vocabulary["lid"].to_numpy()] = vocabulary["c"].to_numpy()
+        table[_join(packets["numbers"].to_pylist())] = _join(packets["data"].to_pylist(), "u1")
         value, known = np.log10(c + 0.5), c > 0
-        total, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for i, packed in enumerate(texts["bag"].to_pylist()):
-            lids, often = _open_bag(packed)
-            total[i] = float((value[lids] * often).sum())
-            hits[i] = int(often[known[lids]].sum())
-        n = texts["n_words"].to_numpy() + 1
-        tally = np.array(texts["class_counts"].to_pylist(), np.float64).reshape(len(texts), CLASSES)
-        model = total + texts["transitions"].to_numpy() - tally @ below_class
+        tokens, seen, at, count = _closed(table, texts["data"].to_pylist())
+        text, n = np.repeat(np.arange(len(texts)), count), count + 1
+        total = np.bincount(text, value[seen], len(texts))
+        hits = np.bincount(text, known[seen], len(texts)).astype(np.int64)
+        previous = np.concatenate([[END], tokens[:-1]])
+        model = total + np.bincount(np.repeat(np.arange(len(texts)), n), log10[previous, tokens] - below_class[tokens], len(texts))
         columns = [
             texts["doc_id"].combine_chunks(),
             texts["held_out"].combine_chunks(),
@@ -342,6 +449,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
         ]
         return pa.table(columns, names=schema.names)
 
-    texts = encoded.where("word is null").select("block", "doc_id", "held_out", "n_words", "transitions", "class_counts", "bag")
+    named = labelled(numbered, classes).select("block", "part", F.col("lids").alias("numbers"), F.col("classes").alias("data"))
+    texts = read.select("block", "part", "doc_id", "held_out", "data", "numbers").unionByName(named, allowMissingColumns=True)
     slim = counted.select("block", "lid", "c")
     return texts.groupBy("block").cogroup(slim.groupBy("block")).applyInArrow(run, schema)

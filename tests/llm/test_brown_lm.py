@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from larkspur.llm import brown_lm
+from larkspur.llm.text_arrays import Words
 
 
 def tokens(text):
@@ -69,3 +70,74 @@ def test_model_probabilities_sum_to_one():
     pairs = rng.integers(0, 50, (brown_lm.CLASSES, brown_lm.CLASSES))
     table = brown_lm.ClassBigrams.of(pairs)
     assert np.allclose((10**table.log10).sum(axis=1), 1)
+
+
+def brute(rows):
+    """Scores by single-process exchange over a table of all words, in the order of their hashes."""
+    end, classes = brown_lm.END, brown_lm.CLASSES
+    texts = [(i, tokens(t), zlib.crc32(str(i).encode()) % 5 == 1) for i, t in rows]
+    names = sorted({w for _, t, _ in texts for w in t}, key=word_hash)
+    number = {w: k for k, w in enumerate(names)}
+    train = [[number[w] for w in t] for _, t, held in texts if not held]
+    counts = Counter(w for t in train for w in t)
+    own = np.full(len(names), end - 1)
+    for c, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:end]):
+        own[w] = c
+
+    def contexts(own):
+        pairs = np.zeros((classes, classes), np.int64)
+        before, behind = np.zeros((2, len(names), classes), np.int64)
+        for t in train:
+            chain = [end, *(own[w] for w in t), end]
+            for k, w in enumerate(t):
+                before[w, chain[k]] += 1
+                behind[w, chain[k + 2]] += 1
+        chain = [c for t in train for c in [*(own[w] for w in t), end]]
+        np.add.at(pairs, ([end, *chain[:-1]], chain), 1)
+        return own, pairs, before, behind
+
+    now, done, idle = contexts(own), 0, 0
+    while idle < 2:
+        best = brown_lm.best_classes(now[2], now[3], now[0], now[1])
+        tried = contexts(np.where(np.arange(len(names)) % 2 == done % 2, best, now[0]))
+        rise = brown_lm.likelihood(tried[1]) - brown_lm.likelihood(now[1])
+        done, idle = done + 1, 0 if rise > brown_lm.TOLERANCE else idle + 1
+        now = tried if rise > 0 else now
+    own, pairs = now[:2]
+    log10 = brown_lm.ClassBigrams.of(pairs).log10
+    n, v = np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        n[own[w]] += c
+        v[own[w]] += 1
+    out = {}
+    for i, t, _ in texts:
+        words = [number[w] for w in t]
+        chain = [end, *(own[w] for w in words), end]
+        score = sum(log10[a, b] for a, b in zip(chain[:-1], chain[1:], strict=True))
+        out[i] = round(score + sum(math.log10((counts[w] + 0.5) / (n[own[w]] + 0.5 * (v[own[w]] + 1))) for w in words), 6)
+    return out, done
+
+
+def word_hash(word):
+    raw = word.encode()
+    return int(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash[0])
+
+
+def test_each_word_has_a_class_and_sweeps_end_by_the_likelihood(spark, monkeypatch):
+    """Words whose hashes agree in 17 bits are classed apart, and scores equal a brute-force version."""
+    many = [f"w{i}" for i in range(3000)]
+    shared = {}
+    for w in many:
+        shared.setdefault(word_hash(w) >> 47, []).append(w)
+    twins = next(ws for ws in shared.values() if len(ws) > 1)[:2]
+    rng = np.random.default_rng(1)
+    kinds = [["red", "blue", twins[0]], ["cat", "dog", twins[1]], many[:40], many[40:80]]
+    texts = [" ".join(str(rng.choice(kinds[k])) for _ in range(6) for k in (0, 1, 2, 3)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")
+    want, done = brute(rows)
+    assert done > 2
+    assert {r.doc_id: round(r.score, 6) for r in brown_lm.score(docs).collect()} == want
+    monkeypatch.setattr(brown_lm, "PART_BYTES", 1 << 10)  # several parts and blocks
+    monkeypatch.setattr(brown_lm, "BLOCK_BYTES", 1 << 11)
+    check(rows, brown_lm.score(docs, sweeps=2).collect())
