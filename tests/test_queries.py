@@ -67,3 +67,16 @@ def test_key_stream_hands_over_keys_and_stops_on_errors(spark, data):
 
     with pytest.raises(RuntimeError):
         q.stream_keys(keys, lambda: None, fail, lambda: None)
+
+
+def test_every_lease_is_handed_over_as_a_write(spark, data, monkeypatch):
+    handed = []
+    real = queries.leases.fenced_writes
+    monkeypatch.setattr(queries.leases, "fenced_writes", lambda writes, rows: handed.append((writes, rows)) or real(writes, rows))
+    kept = queries.QUERIES["lease_fenced_writes"](spark, data).count()
+    writes, rows = handed[0]
+    current = queries.leases.current(rows).count()
+    assert writes.select("key", "lease_id").exceptAll(rows.select("key", "lease_id")).isEmpty()
+    assert writes.count() == rows.count() and 0 < kept < current
+    # writes of the others were refused for their token alone
+    assert real(rows, rows).count() == current
