@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express naive Bayes, sampling and tokenizers; the tests compare with a brute-force version.
+#: SQL cannot express naive Bayes, sampling and tokenizers; a brute-force version of all stages is still to be written.
 ORACLE_SQL = None
 
 
