@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, language_id, near_dedup, packing, secrets
-from larkspur.shared import materialize
+from larkspur.shared import discard, materialize, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,5 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as kept:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
