@@ -8,8 +8,8 @@ come from exchange clustering, as a sequence of Spark jobs:
   keeps its texts as sequences of these numbers.
 * Every word has a class of its own. The table word -> class stays distributed
   in *parts* by the word's 64-bit hash, about ``PART_BYTES`` of text for each;
-  a block gets the classes of the words it holds, and no more. (Two words with
-  equal hashes would share a class, not their counts.)
+  a block gets the classes and counts of the words it holds, and no more. A
+  second, independent hash tells words apart whose first hashes are equal.
 * A *sweep* adds up, in every block, how often each class stands before and
   behind each word, and sums that by part. Then every part, in its own task,
   looks for the class of each word that raises the likelihood most, given the
@@ -17,9 +17,9 @@ come from exchange clustering, as a sequence of Spark jobs:
   that go together do not keep passing each other.
 * A sweep that does not raise the likelihood is taken back. Sweeps end when
   neither half raises it by more than ``TOLERANCE``.
-* Word counts: (word, block) rows are summed by word, and each block gets the
-  counts of the words it holds next to its texts. So no task and no broadcast
-  holds the vocabulary.
+* Word counts are summed in the parts and come to the blocks with the classes.
+  So no task and no broadcast holds the vocabulary, and a word that every block
+  holds is one number in a packet of each block.
 
 Smoothing: class bigrams are interpolated with class unigrams (weight
 ``PRIOR``), and P(word | class) = (c + 0.5) / (N_class + 0.5 (V_class + 1)),
@@ -38,15 +38,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm import count_blocks
-from larkspur.llm.text_arrays import Words, slices, text_bytes
-from larkspur.shared import materialize
+from larkspur.llm.text_arrays import Words, slices, span_hashes, text_bytes
+from larkspur.shared import discard, materialize
 
 #: Classes with the end token's, the last.
 CLASSES = 32
@@ -58,7 +57,7 @@ PRIOR = 2.0
 #: Bytes of text in a block, and for each part of the class table.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: Contexts that are weighed at once.
-_CHUNK = 1 << 16
+_CHUNK = 1 << 15
 
 
 def _pack(values: np.ndarray, kind: str = "<i4") -> bytes:
@@ -87,6 +86,19 @@ def _closed(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
 _NUMBERED = "part int, block long, numbers binary, lids binary"
 
 
+def _numbered(first: np.ndarray, second: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different pairs of hashes there are, and the number of each."""
+    known, at, number = np.unique(first, return_index=True, return_inverse=True)
+    if (second == second[at][number]).all():
+        return len(known), number
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return int(new.sum()), number
+
+
 def number_words(packets: DataFrame) -> DataFrame:
     """Numbers of words in their part, for each block that holds them.
 
@@ -95,12 +107,12 @@ def number_words(packets: DataFrame) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hashes = [_unpack(d, "<u8") for d in table["data"].to_pylist()]
+        hashes = [_unpack(d, "<u8").reshape(2, -1) for d in table["data"].to_pylist()]
         halves = [_unpack(n).reshape(2, -1) for n in table["numbers"].to_pylist()]
-        known, number = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(number, np.concatenate([h[1] for h in halves]), len(known)).astype(np.int64)
+        known, number = _numbered(*np.concatenate(hashes, axis=1))
+        counts = np.bincount(number, np.concatenate([h[1] for h in halves]), known).astype(np.int64)
         top = np.argsort(-counts, kind="stable")[: END - 1]
-        cuts = np.cumsum([len(h) for h in hashes])[:-1]
+        cuts = np.cumsum([h.shape[1] for h in hashes])[:-1]
         part = table["part"][0].as_py()
         return pa.table(
             {
@@ -148,8 +160,28 @@ def labelled(numbered: DataFrame, classes: DataFrame) -> DataFrame:
     return packets.groupBy("part").cogroup(classes.groupBy("part")).applyInArrow(run, _NUMBERED + ", classes binary")
 
 
-def context_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Contexts of words by part and block, and in part -1 the class bigrams of the block.
+def counted(numbered: DataFrame, classes: DataFrame) -> DataFrame:
+    """The words of each block: ``block, part``, their numbers in the block, classes and training counts."""
+
+    def run(words: pa.Table, table: pa.Table) -> pa.Table:
+        own, counts = _unpack(table["classes"][0].as_py(), "u1"), _unpack(table["counts"][0].as_py(), "<i8")
+        numbers = [_unpack(n) for n in words["numbers"].to_pylist()]
+        columns = {
+            "block": words["block"],
+            "part": words["part"],
+            "numbers": words["lids"],
+            "data": pa.array([_pack(own[n], "u1") for n in numbers], pa.binary()),
+            "counts": pa.array([_pack(counts[n], "<i8") for n in numbers], pa.binary()),
+        }
+        return pa.table(columns)
+
+    table = classes.join(numbered.where("block = -1").select("part", F.col("numbers").alias("counts")), "part")
+    packets = numbered.where("block >= 0")
+    return packets.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(run, "block long, part int, numbers binary, data binary, counts binary")
+
+
+def context_counts(texts: DataFrame, words: DataFrame, half: int) -> DataFrame:
+    """Contexts of one half of the words by part and block, and in part -1 the class bigrams of the block.
 
     A context's key is its word's number times 64, the class before, or the
     class behind plus 32.
@@ -157,17 +189,19 @@ def context_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         lids = _join(words["lids"].to_pylist())
-        table, place = np.zeros(len(lids), np.uint8), np.zeros(len(lids), np.int64)
+        numbers = [_unpack(n).astype(np.int64) for n in words["numbers"].to_pylist()]
+        table, place, mine = np.zeros(len(lids), np.uint8), np.zeros(len(lids), np.int64), np.zeros(len(lids), bool)
         table[lids] = _join(words["classes"].to_pylist(), "u1")
         place[lids] = np.arange(len(lids))
+        mine[lids] = np.concatenate([np.zeros(0, np.int64), *numbers]) % 2 == half
         tokens, seen, at, _ = _closed(table, texts["data"].to_pylist())
         previous = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
         pairs = np.bincount(previous * CLASSES + tokens, minlength=CLASSES * CLASSES)
-        where = place[seen] * 64
+        chosen = mine[seen]
+        where, at = place[seen[chosen]] * 64, at[chosen]
         keys, counts = np.unique(np.concatenate([where + previous[at], where + 32 + tokens[at + 1]]), return_counts=True)
         out, base = [(-1, None, _pack(pairs, "<i8"))], 0
-        for part, packed in zip(words["part"].to_pylist(), words["numbers"].to_pylist(), strict=True):
-            number = _unpack(packed).astype(np.int64)
+        for part, number in zip(words["part"].to_pylist(), numbers, strict=True):
             a, b = np.searchsorted(keys, [base * 64, (base + len(number)) * 64])
             if b > a:
                 own = number[(keys[a:b] >> 6) - base] * 64 + (keys[a:b] & 63)
@@ -198,19 +232,34 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum()) / max(int(pairs.sum()), 1)
 
 
+def _more(there: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """By how much x log x rises where ``count`` is added to ``there``."""
+    there = np.maximum(there, 0)
+    return _xlogx(there + count) - _xlogx(there)
+
+
 def _gains(word: np.ndarray, behind: np.ndarray, other: np.ndarray, count: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Gain of each word in each word class, from its contexts, ordered by word."""
-    n = np.bincount(word, np.where(behind, 0, count), len(own))[:, None]
-    there = np.where(behind[:, None], pairs[:END, :].T[other], pairs[:, :END][other])
-    there = np.maximum(there - np.where(own[word][:, None] == np.arange(END), count[:, None], 0), 0)
-    each = _xlogx(there + count[:, None]) - _xlogx(there)
+    """Gain of each word in each word class, from its contexts, ordered by word.
+
+    What a context gains in a class depends on nothing but the class beside it,
+    the side and the count, so it is worked out one time for each of these; in
+    the word's present class its own count is taken off first.
+    """
+    n = np.bincount(word, np.where(behind, 0, count), len(own)).astype(np.int64)
+    kinds, first, of = np.unique((count * 2 + behind) * CLASSES + other, return_index=True, return_inverse=True)
+    beside, after, often = other[first], behind[first][:, None], count[first][:, None]
+    each = _more(np.where(after, pairs[:END, :].T[beside], pairs[:, :END][beside]), often)[of]
+    mine = own[word]
+    each[np.arange(len(word)), mine] = _more(np.where(behind, pairs[mine, other], pairs[other, mine]) - count, count)
     gain = np.zeros((len(own), END))
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    if len(first):
-        gain[word[first]] = np.add.reduceat(each, first, axis=0)
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(begins):
+        gain[word[begins]] = np.add.reduceat(each, begins, axis=0)
+    sizes, of = np.unique(n, return_inverse=True)
     for margin in (pairs.sum(axis=1), pairs.sum(axis=0)):
-        whole = np.maximum(margin[None, :END] - np.where(own[:, None] == np.arange(END), n, 0), 0)
-        gain -= _xlogx(whole + n) - _xlogx(whole)
+        loss = _more(margin[None, :END], sizes[:, None])[of]
+        loss[np.arange(len(own)), own] = _more(margin[own] - n, n)
+        gain -= loss
     return gain
 
 
@@ -226,15 +275,13 @@ def best_classes(before: np.ndarray, behind: np.ndarray, own: np.ndarray, pairs:
     return np.where(before.sum(axis=1) > 0, gain.argmax(axis=1), own)
 
 
-def exchange(contexts: DataFrame, classes: DataFrame, pairs: np.ndarray, half: int) -> DataFrame:
-    """New classes of the words of one half, found part by part in tasks."""
+def exchange(contexts: DataFrame, classes: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """New classes of the words that have contexts here, found part by part in tasks."""
 
     def run(found: pa.Table, table: pa.Table) -> pa.Table:
         own = _unpack(table["classes"][0].as_py(), "u1").astype(np.int64)
         keys = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(k, "<i8")) for k in found["keys"].to_pylist())])
         counts = _join(found["counts"].to_pylist()).astype(np.int64)
-        mine = (keys >> 6) % 2 == half
-        keys, counts = keys[mine], counts[mine]
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -256,19 +303,23 @@ def exchange(contexts: DataFrame, classes: DataFrame, pairs: np.ndarray, half: i
 def cluster(texts: DataFrame, numbered: DataFrame, sweeps: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Classes of all words by part, and the class bigrams under them; at most ``sweeps`` sweeps, where given."""
 
-    def measured(classes: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-        contexts = context_counts(texts, labelled(numbered, classes)).persist(StorageLevel.DISK_ONLY)
+    def measured(classes: DataFrame, half: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        contexts = materialize(context_counts(texts, labelled(numbered, classes), half), "contexts")
         return classes, contexts, _pairs(contexts)
 
-    now = measured(first_classes(numbered))
+    now = measured(first_classes(numbered), 0)
     done = idle = 0
     while idle < 2 and (sweeps is None or done < sweeps):
-        tried = measured(exchange(now[1], now[0], now[2], done % 2))
+        tried = measured(exchange(now[1], now[0], now[2]), (done + 1) % 2)
         rise = likelihood(tried[2]) - likelihood(now[2])
         done, idle = done + 1, 0 if rise > TOLERANCE else idle + 1
-        now, left = (tried, now) if rise > 0 else (now, tried)
-        left[1].unpersist()
-    now[1].unpersist()
+        if rise > 0:
+            discard(*now[:2])
+            now = tried
+        else:  # the classes stay; the other half's contexts are under them
+            discard(*tried[:2], now[1])
+            now = measured(now[0], done % 2)
+    discard(now[1])
     return now[0], now[2]
 
 
@@ -299,14 +350,14 @@ def class_totals(numbered: DataFrame, classes: DataFrame) -> tuple[np.ndarray, n
     return n, v
 
 
-#: Rows of the reading pass: of a document (part and word are null), of a block's words in a part, or of a word in a block.
-_ENCODED = "block long, part int, doc_id {id}, held_out boolean, data binary, numbers binary, word string, lid int, trained long"
+#: Rows of the reading pass: of a document (part is null), or of a block's words in a part.
+_ENCODED = "block long, part int, doc_id {id}, held_out boolean, data binary, numbers binary"
 
 
 def _encode(docs: DataFrame, parts: int) -> DataFrame:
     """Documents as sequences of block-numbered words, and the words of each block with their training counts."""
     schema = T.StructType.fromDDL(_ENCODED.format(id=docs.schema["doc_id"].dataType.simpleString()))
-    arrow = [pa.int64(), pa.int32(), None, pa.bool_(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
+    arrow = [pa.int64(), pa.int32(), None, pa.bool_(), pa.binary(), pa.binary()]
 
     def rows(n: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
         kinds = [k or id_type for k in arrow]
@@ -323,38 +374,28 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
             data.append(words.data)
             base += len(words.data)
         count, joined = np.concatenate(counts), np.concatenate(data)
+        start, hashed = np.concatenate(starts), np.concatenate(hashes)
+        second = span_hashes(joined, start, start + np.concatenate(sizes), other=True)
         doc = np.repeat(np.arange(len(count)), count)
-        known, first, number, often = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-often, kind="stable")  # frequent words get small numbers
-        rank = np.empty(len(known), np.int64)
-        rank[order] = np.arange(len(known))
+        different, number = _numbered(hashed, second)
+        often = np.bincount(number, minlength=different)
+        rank = np.empty(different, np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(different)  # frequent words get small numbers
         lid = rank[number]
-        trained = np.bincount(lid[~held[doc]], minlength=len(known))
-        begins, lengths = np.concatenate(starts)[first[order]], np.concatenate(sizes)[first[order]]
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        taken = joined[np.repeat(begins - offsets[:-1], lengths) + np.arange(offsets[-1])]
-        text = pa.LargeStringArray.from_buffers(len(known), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)).cast(pa.string())
-        for at in range(0, len(known), 50_000):
-            part = slice(at, at + 50_000)
-            n = len(trained[part])
-            yield rows(
-                n,
-                ids.type,
-                block=pa.array(np.full(n, block)),
-                word=text.slice(at, n),
-                lid=pa.array(np.arange(at, at + n), pa.int32()),
-                trained=pa.array(trained[part]),
-            )
+        first = np.empty(different, np.int64)
+        first[number[::-1]] = np.arange(len(number))[::-1]
+        known, check = hashed[first], second[first]
+        trained = np.bincount(lid[~held[doc]], minlength=different)
         home = ((known >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # in the order of hashes
-        own, first = np.unique(home, return_index=True)
-        packets = [(known[a:b], np.concatenate([rank[a:b], trained[rank[a:b]]])) for a, b in zip(first, [*first[1:], len(known)], strict=True)]
+        own, cut = np.unique(home, return_index=True)
+        packets = [((known[a:b], check[a:b]), (rank[a:b], trained[rank[a:b]])) for a, b in zip(cut, [*cut[1:], different], strict=True)]
         yield rows(
             len(own),
             ids.type,
             block=pa.array(np.full(len(own), block)),
             part=pa.array(own, pa.int32()),
-            data=pa.array([_pack(h, "<u8") for h, _ in packets], pa.binary()),
-            numbers=pa.array([_pack(n) for _, n in packets], pa.binary()),
+            data=pa.array([_pack(np.concatenate(h), "<u8") for h, _ in packets], pa.binary()),
+            numbers=pa.array([_pack(np.concatenate(n)) for _, n in packets], pa.binary()),
         )
         cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
         yield rows(
@@ -400,16 +441,11 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     size = split.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     encoded = materialize(_encode(split, 1 + size // PART_BYTES), "encoded")
     numbered = number_words(encoded.where("part is not null").select("part", "block", "data", "numbers"))
-    read = encoded.where("word is null and part is null")
+    read = encoded.where("part is null")
     classes, pairs = cluster(read.where("not held_out").select("block", "data"), numbered, sweeps)
-    of_word = Window.partitionBy("word")
-    words = encoded.where("word is not null").select("block", "lid", "word", "trained")
-    counted = words.select("block", "lid", F.sum("trained").over(of_word).alias("c"), (F.min("block").over(of_word) == F.col("block")).alias("first"))
-    counted = materialize(counted, "word-counts")
-    known = counted.where("first and c > 0").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_class, v_class = class_totals(numbered, classes)
     ends = int(pairs[:, END].sum())
-    n_all, v_all = int(known["n"] or 0) + ends, known["v"] + (ends > 0)
+    n_all, v_all = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
     below_class = np.log10(n_class + 0.5 * (v_class + 1))
     below_class[END] = 0.0  # the end class has one member
     below_base, of_end = float(np.log10(n_all + 0.5 * (v_all + 1))), float(np.log10(ends + 0.5))
@@ -424,12 +460,11 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
 
     log10 = ClassBigrams.of(pairs).log10
 
-    def run(found: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        is_text = pc.is_null(found["part"])
-        texts, packets = found.filter(is_text), found.filter(pc.invert(is_text))
-        c, table = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.uint8)
-        c[vocabulary["lid"].to_numpy()] = vocabulary["c"].to_numpy()
-        table[_join(packets["numbers"].to_pylist())] = _join(packets["data"].to_pylist(), "u1")
+    def run(texts: pa.Table, packets: pa.Table) -> pa.Table:
+        lids = _join(packets["numbers"].to_pylist())
+        c, table = np.zeros(len(lids), np.int64), np.zeros(len(lids), np.uint8)
+        c[lids] = _join(packets["counts"].to_pylist(), "<i8")
+        table[lids] = _join(packets["data"].to_pylist(), "u1")
         value, known = np.log10(c + 0.5), c > 0
         tokens, seen, at, count = _closed(table, texts["data"].to_pylist())
         text, n = np.repeat(np.arange(len(texts)), count), count + 1
@@ -449,7 +484,5 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
         ]
         return pa.table(columns, names=schema.names)
 
-    named = labelled(numbered, classes).select("block", "part", F.col("lids").alias("numbers"), F.col("classes").alias("data"))
-    texts = read.select("block", "part", "doc_id", "held_out", "data", "numbers").unionByName(named, allowMissingColumns=True)
-    slim = counted.select("block", "lid", "c")
-    return texts.groupBy("block").cogroup(slim.groupBy("block")).applyInArrow(run, schema)
+    texts = read.select("block", "doc_id", "held_out", "data")
+    return texts.groupBy("block").cogroup(counted(numbered, classes).groupBy("block")).applyInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.shared import materialize
+from larkspur.shared import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     folder. Links and labels never leave the executors.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels = last = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
         best = labels.select("node", "label").union(told).groupBy("node").agg(F.min("label").alias("label"))
@@ -24,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         jumped = best.join(up, "label").select("node", F.least("label", "higher").alias("label"))
         old = labels.select("node", F.col("label").alias("old"))
         made = materialize(jumped.join(old, "node"), "labels")
-        labels = made.select("node", "label")
+        discard(last)
+        labels, last = made.select("node", "label"), made
         if made.where(F.col("label") != F.col("old")).isEmpty():
             return labels

@@ -9,7 +9,8 @@ documents) is broadcast, and batches are scored in numpy.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0,
 and so is every text where nothing was learned; ties go to the language that
-sorts first; long texts are read whole; repeated rows are predicted alike;
+sorts first; long texts are read whole, in stretches; more than ``LANGUAGES``
+labels are refused (each takes 256 KB of the broadcast matrix); repeated rows are predicted alike;
 an empty table gives no rows; only the named columns are read and the working
 ones carry the prefix ``_li_``, so extra columns cannot clash.
 """
@@ -32,31 +33,59 @@ from larkspur.llm.text_arrays import mix, slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Code points of a group of texts whose n-grams are hashed at once; longer texts are cut.
+STRETCH = 1 << 16
+#: Languages that learning takes at most: the matrix has 256 KB for each.
+LANGUAGES = 200
 #: Added to each feature count.
 SMOOTHING = 0.1
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all texts, text by text, and how many each text has."""
-    points = code_points("".join(f"  {(t or '').lower()}  " for t in texts))
-    sizes = np.fromiter((len((t or "").lower()) + 4 for t in texts), np.int64, len(texts))
-    letter = classes()[points] == LETTER
+def stretches(texts: list[str | None], limit: int = STRETCH) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Lower-cased texts between two blanks, in groups of about ``limit`` code points.
+
+    A group has the numbers of its texts, stretches of them, and how many
+    n-grams of each order may begin in each stretch. A long text is cut; a
+    stretch then also has the two code points behind it.
+    """
+    rows, parts, begins, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        padded = f"  {(text or '').lower()}  "
+        for at in range(0, len(padded), limit):
+            part = padded[at : at + limit + 2]
+            rows.append(row)
+            parts.append(part)
+            begins.append(min(limit, len(part)))
+            size += len(part)
+            if size >= limit:
+                yield rows, parts, begins
+                rows, parts, begins, size = [], [], [], 0
+    if rows:
+        yield rows, parts, begins
+
+
+def features(parts: list[str], begins: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of all stretches, one after another, and how many each has."""
+    points = code_points("".join(parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends, letter = np.cumsum(sizes), classes()[points] == LETTER
     points = np.where(letter, points, 0x20).astype(np.uint64)
-    ends, hashed, places = np.cumsum(sizes), [], []
+    room = np.arange(len(points)) < np.repeat(ends - sizes + np.array(begins, np.int64), sizes)
+    hashed, counts = [], []
     for n in ORDERS:
         value, used = points.copy(), letter.copy()
         for k in range(1, n):
             value[:-k] = value[:-k] * np.uint64(0x9E3779B1) + points[k:]
             used[:-k] |= letter[k:]
-        if n > 1:
-            used[-(n - 1) :] = False
+        used &= room
+        for k in range(1, n):  # too near the end of its stretch for n code points
+            used[ends[sizes >= k] - k] = False
         at = np.flatnonzero(used)
         hashed.append((mix(value[at] * np.uint64(4) + np.uint64(n)) >> np.uint64(48)).astype(np.int32))
-        places.append(np.searchsorted(at, ends))
-    counts = sum(np.diff(p, prepend=0) for p in places)
-    # text by text: the n-grams of each order of a text stand together
-    order = np.argsort(np.concatenate([np.repeat(np.arange(len(texts)), np.diff(p, prepend=0)) for p in places]), kind="stable")
-    return np.concatenate(hashed)[order], counts
+        counts.append(np.diff(np.searchsorted(at, ends), prepend=0))
+    # stretch by stretch: the n-grams of each order of a stretch stand together
+    order = np.argsort(np.concatenate([np.repeat(np.arange(len(parts)), c) for c in counts]), kind="stable")
+    return np.concatenate(hashed)[order], sum(counts)
 
 
 @dataclass(frozen=True)
@@ -69,36 +98,45 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The predicted language and its posterior probability for each text."""
-        hashed, counts = features(texts)
-        total = np.tile(self.log_prior, (len(texts), 1))
-        some = np.flatnonzero(counts)
-        if len(some) and self.languages:
-            begins = (np.cumsum(counts) - counts)[some]
-            total[some] += np.add.reduceat(self.log_probability[hashed], begins, axis=0, dtype=np.float64)
+        total, found = np.tile(self.log_prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for rows, parts, begins in stretches(texts):
+            hashed, counts = features(parts, begins)
+            some = np.flatnonzero(counts)
+            if len(some):
+                at = (np.cumsum(counts) - counts)[some]
+                np.add.at(total, np.array(rows)[some], np.add.reduceat(self.log_probability[hashed], at, axis=0, dtype=np.float64))
+                np.add.at(found, rows, counts)
         best = total.argmax(axis=1)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), counts.tolist(), strict=True)], np.where(counts > 0, share, 0.0)
+        return [self.languages[b] if n else UNKNOWN for b, n in zip(best.tolist(), found.tolist(), strict=True)], np.where(found > 0, share, 0.0)
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = SMOOTHING) -> Model:
     """Fit on every row whose language is not null."""
     source = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_li_text"), F.col(lang_col).cast("string").alias("_li_lang"))
+    if source.select("_li_lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the column does not hold language tags")
     width = BUCKETS + 1  # the last place counts documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
         for batch in batches:
             for begin, end in slices(batch.column(0)):
                 texts = batch.column(0).slice(begin, end - begin).to_pylist()
                 langs = batch.column(1).slice(begin, end - begin).to_pylist()
-                hashed, sizes = features(texts)
-                for lang in set(langs):
-                    own = np.fromiter((x == lang for x in langs), bool, len(langs))
-                    vector = counts.setdefault(lang, np.zeros(width, np.int64))
-                    vector[:BUCKETS] += np.bincount(hashed[np.repeat(own, sizes)], minlength=BUCKETS)
-                    vector[BUCKETS] += int(own.sum())
+                for lang in set(langs) - set(counts):
+                    counts[lang], names[lang] = np.zeros(width, np.int64), len(names)
+                for rows, parts, begins in stretches(texts):
+                    hashed, sizes = features(parts, begins)
+                    own = [langs[r] for r in rows]
+                    of = np.repeat([names[x] for x in own], sizes)
+                    for lang in set(own):
+                        counts[lang][:BUCKETS] += np.bincount(hashed[of == names[lang]], minlength=BUCKETS)
+                for lang in langs:
+                    counts[lang][BUCKETS] += 1
         yield from count_blocks.emit(counts)
 
     found = count_blocks.to_arrays(count_blocks.total(source.mapInArrow(run, count_blocks.SCHEMA)), width)

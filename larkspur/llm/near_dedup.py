@@ -55,6 +55,9 @@ QUERY_BLOCK, MEMBER_BLOCK = 256, 512
 #: Tasks that the members of one text's copies are spread over when they get their class.
 SALTS = 16
 
+#: Shingles that are sampled at once.
+_CHUNK = 1 << 16
+
 _K = np.uint64(0xD1342543DE82EF95)
 _random = np.random.default_rng(7)
 _R = (-np.log(_random.random(DRAWS) * _random.random(DRAWS))).clip(1e-4).astype(np.float32)
@@ -124,21 +127,28 @@ def band_keys(column: pa.Array, frequency: Frequency) -> np.ndarray:
     out = np.zeros((len(column), BANDS), np.uint64)
     if not len(row):
         return out
-    ln_w = np.log(frequency.weight(hashes, often))
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    some, low = row[first], hashes & np.uint64(0xFFFFFFFF)
-    for band in range(BANDS):
-        key = np.full(len(first), band, np.uint64)
-        for factor in _FACTORS[band * ROWS : (band + 1) * ROWS]:
-            draw = ((hashes * factor) >> np.uint64(48)).astype(np.int64)
+    some, number = np.unique(row, return_inverse=True)
+    samples = np.full((BANDS * ROWS, len(some)), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(row), _CHUNK):
+        part = slice(at, at + _CHUNK)
+        here = number[part]
+        first = np.flatnonzero(np.diff(here, prepend=-1))
+        texts = slice(int(here[0]), int(here[-1]) + 1)
+        ln_w, low = np.log(frequency.weight(hashes[part], often[part])), hashes[part] & np.uint64(0xFFFFFFFF)
+        for k, factor in enumerate(_FACTORS):
+            draw = ((hashes[part] * factor) >> np.uint64(48)).astype(np.int64)
             r, beta = _R[draw], _BETA[draw]
             t = np.floor(ln_w / r + beta)
             ln_a = _LN_C[draw] - r * (t - beta + np.float32(1))
             bits = ln_a.view(np.int32)
             # order of floats as order of unsigned numbers; the shingle below them names the sample
             sortable = np.where(bits < 0, ~bits, bits | np.int32(-(1 << 31))).view(np.uint32).astype(np.uint64)
-            sample = np.minimum.reduceat(sortable << np.uint64(32) | low, first)
-            key = mix(key * _K + sample)
+            least = np.minimum.reduceat(sortable << np.uint64(32) | low, first)
+            samples[k, texts] = np.minimum(samples[k, texts], least)
+    for band in range(BANDS):
+        key = np.full(len(some), band, np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = mix(key * _K + samples[k])
         out[some, band] = key
     return out
 

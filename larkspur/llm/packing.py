@@ -36,7 +36,7 @@ from larkspur.llm.pretokens import pieces
 from larkspur.llm.text_arrays import slices
 
 #: Distinct pre-tokens whose ids one Python worker keeps at most, in two generations.
-KEPT = 1_000_000
+KEPT = 400_000
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 

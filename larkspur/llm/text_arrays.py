@@ -3,7 +3,9 @@
 A batch of texts becomes one byte buffer with document offsets; words
 (``[^\\x20\\x09-\\x0D]+``), their 64-bit hashes and their documents are found
 for the whole buffer at once. Callers slice batches so that a buffer stays
-near ``SLICE_BYTES``, unless one document is longer.
+near ``SLICE_BYTES``, unless one document is longer; inside a buffer, work
+goes in windows of ``WINDOW`` bytes, so a long document costs little more than
+its own bytes and words.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+WINDOW = 1 << 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -21,8 +24,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_BYTES, _OTHER_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    """base**i for i up to WINDOW, wrapping."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(WINDOW, base)]), dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_STEP), _powers(_BACK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    """base**i for i < n, wrapping, kept and doubled as needed."""
-    have = _powers[kind]
-    while len(have) < n:
-        have = np.concatenate([have, have * (have[-1:] * base)])
-    if len(have) <= 8 * SLICE_BYTES:
-        _powers[kind] = have
-    return have[:n]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one buffer, and n + 1 offsets; null is empty."""
     column = column.cast(pa.large_binary())
@@ -68,27 +68,52 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         begin = end
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
+    """64-bit hashes of spans of bytes that do not overlap; ``other`` gives hashes that are independent of these."""
+    values, plain = _OTHER_BYTES if other else _BYTES, np.zeros(len(start), np.uint64)
+    for at in range(0, len(data), WINDOW):
+        stop = min(at + WINDOW, len(data))
+        total = np.zeros(stop - at + 1, np.uint64)
+        np.cumsum(values[data[at:stop]] * _UP[: stop - at], out=total[1:])
+        low, high = np.searchsorted(start, [at, stop])
+        inside, begin = np.minimum(end[low:high], stop) - at, start[low:high] - at
+        plain[low:high] = (total[inside] - total[begin]) * _DOWN[begin]
+        if low and end[low - 1] > at:  # the rest of a span that began in an earlier window
+            shift = np.uint64(pow(int(_STEP), int(at - start[low - 1]), 1 << 64))
+            reach = min(end[low - 1], stop) - at
+            plain[low - 1 : low] += total[reach : reach + 1] * shift
+    return mix(plain + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of a buffer: start and end bytes, document and hash of each, in order."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
         self.data = _LOWER[raw] if lower else raw
-        self.offsets, n = offsets, len(raw)
-        word = np.zeros(n + 2, bool)
-        word[1:-1] = ~_SPACE[raw]
-        first = word[1:-1] & ~word[:-2]
-        last = word[1:-1] & ~word[2:]
+        self.offsets = offsets
+        starts, ends = [], []
         cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < n)]
-        first[cuts] = word[1:-1][cuts]
-        last[cuts - 1] = word[1:-1][cuts - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        for at in range(0, len(raw), WINDOW):
+            stop = min(at + WINDOW, len(raw))
+            word = ~_SPACE[raw[at:stop]]
+            first, last = word.copy(), word.copy()
+            first[1:] &= ~word[:-1]
+            last[:-1] &= ~word[1:]
+            first[0] &= at == 0 or _SPACE[raw[at - 1]]
+            last[-1] &= stop == len(raw) or _SPACE[raw[stop]]
+            low, high = np.searchsorted(cuts, [at, stop])
+            here = cuts[low:high] - at
+            first[here] = word[here]
+            low, high = np.searchsorted(cuts, [at + 1, stop + 1])
+            here = cuts[low:high] - at - 1
+            last[here] = word[here]
+            starts.append(np.flatnonzero(first) + at)
+            ends.append(np.flatnonzero(last) + at + 1)
+        none = np.zeros(0, np.int64)
+        self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
         self.counts = np.searchsorted(self.start, offsets[1:]) - np.searchsorted(self.start, offsets[:-1])
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * _power("up", _STEP, n), out=total[1:])
-        plain = (total[self.end] - total[self.start]) * _power("down", _BACK, n + 1)[self.start]
-        self.hash = mix(plain + (self.end - self.start).astype(np.uint64))
+        self.hash = span_hashes(self.data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
