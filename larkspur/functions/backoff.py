@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,35 @@ from pyspark.sql import functions as F
 IMMEDIATE, BASE_MS, FACTOR, CAP_MS = 3, 250, 2.0, 300_000
 
 
+def delays(base: int = BASE_MS, factor: float = FACTOR, cap: int = CAP_MS) -> Iterator[int]:
+    """Delays of the failures after the immediate ones, until they stay the same.
+
+    Each is the one before times the factor, cut to whole milliseconds; where
+    the factor does not make it grow, it is the cap.
+    """
+    delay = base
+    while True:
+        yield min(delay, cap)
+        grown = delay * factor
+        then = cap if grown <= delay or grown >= cap else int(grown)
+        if then == delay or delay >= cap:
+            return
+        delay = then
+
+
 def restart_delay_ms(failures: Column, immediate: int = IMMEDIATE, base: int = BASE_MS, factor: float = FACTOR, cap: int = CAP_MS) -> Column:
-    """0 for the first failures, then base * factor^k up to the cap; each step is cut to whole milliseconds."""
-    steps = F.greatest(failures - immediate - 1, F.lit(0)).cast("int")
-    # the cap is reached in a bounded number of steps
-    grown = F.aggregate(F.sequence(F.lit(0), F.least(steps, F.lit(64))), F.lit(base).cast("long"), lambda d, k: F.when(k == 0, d).otherwise(F.least(F.floor(d * factor), F.lit(cap)).cast("long")))
-    return F.when(failures <= immediate, F.lit(0).cast("long")).otherwise(F.least(grown, F.lit(cap).cast("long")))
+    """0 for the first failures, then the delays of :func:`delays`, the last of them for ever."""
+    changes = sum(1 for _ in delays(base, factor, cap)) - 1
+    steps = F.least(failures - immediate - 1, F.lit(changes)).cast("int")
+    grow = lambda d: F.when((d * factor <= d) | (d * factor >= cap), F.lit(cap)).otherwise(F.floor(d * factor)).cast("long")
+    grown = F.aggregate(F.sequence(F.lit(0), steps), F.lit(base).cast("long"), lambda d, k: F.when(k == 0, d).otherwise(grow(d)))
+    return F.when(failures <= max(immediate, 0), F.lit(0).cast("long")).otherwise(F.least(grown, F.lit(cap).cast("long")))
 
 
 def jittered(delay_ms: Column, jitter_ms: Column, uniform: Column, cap: int = CAP_MS) -> Column:
-    """Delay plus or minus up to ``jitter_ms`` (``uniform`` from 0 to 1), kept from 0 to the cap."""
-    return F.greatest(F.lit(0), F.least(F.lit(cap), delay_ms + F.round((uniform * 2 - 1) * jitter_ms))).cast("long")
+    """Delay plus or minus up to ``jitter_ms`` or itself (``uniform`` from 0 to 1), kept from 0 to the cap; no delay stays none."""
+    reach = F.greatest(F.lit(0), F.least(jitter_ms, delay_ms))
+    return F.greatest(F.lit(0), F.least(F.lit(cap), delay_ms + F.round((uniform * 2 - 1) * reach))).cast("long")
 
 
 def is_fatal(code: Column, http_status: Column) -> Column:

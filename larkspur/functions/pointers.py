@@ -23,11 +23,16 @@ def parse(pointer: str) -> list[str]:
     return segments
 
 
+def is_index(segment: str) -> bool:
+    """Whether a segment may be the place of an array's item: ASCII digits alone."""
+    return segment.isascii() and segment.isdigit()
+
+
 def spark_path(pointer: str) -> str:
     """The same address for ``get_json_object`` and ``variant_get``, every name in brackets."""
     out = "$"
     for s in parse(pointer):
         if "'" in s:
             raise PointerError("a quote in a path cannot be read by Spark")
-        out += f"[{s}]" if s.isdigit() else f"['{s}']"
+        out += f"[{s}]" if is_index(s) else f"['{s}']"
     return out

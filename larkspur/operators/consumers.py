@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from larkspur.functions.scalars import safe_token
 
 
+#: Sequence numbers whose outcomes are sorted together.
+BLOCK = 1 << 16
+
+
 def delivery_state(events: DataFrame) -> DataFrame:
     """The state of every delivery after its events ``(delivery_id, kind, seq)``.
 
@@ -34,13 +38,24 @@ def failure_runs(outcomes: DataFrame) -> DataFrame:
     """``outcomes(consumer, seq, outcome)`` with ``failures`` in a row so far.
 
     A ``success`` resets the count, a ``delivery_error`` is reported as
-    attempt 0 and counts nothing, a ``failure`` counts.
+    attempt 0 and counts nothing, a ``failure`` counts. A consumer may have any
+    number of rows: they are counted within blocks of ``BLOCK`` numbers, and
+    each block begins with what the blocks before it left.
     """
-    order = Window.partitionBy("consumer").orderBy("seq")
-    runs = outcomes.withColumn("_run", F.sum(F.when(F.col("outcome") == "success", 1).otherwise(0)).over(order))
-    within = Window.partitionBy("consumer", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    count = F.sum(F.when(F.col("outcome") == "failure", 1).otherwise(0)).over(within)
-    return runs.withColumn("failures", F.when(F.col("outcome") == "delivery_error", F.lit(0)).otherwise(count).cast("long")).drop("_run")
+    resets, counts = (F.col("outcome") == "success").cast("int"), (F.col("outcome") == "failure").cast("int")
+    rows = outcomes.withColumn("_block", F.coalesce(F.floor(F.col("seq") / BLOCK), F.lit(-(1 << 60))))
+    order = Window.partitionBy("consumer", "_block").orderBy("seq")
+    rows = rows.withColumn("_run", F.sum(resets).over(order))
+    within = Window.partitionBy("consumer", "_block", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(counts).over(within))
+    blocks = rows.groupBy("consumer", "_block").agg(F.max_by("_own", "seq").alias("_left"), F.max("_run").alias("_resets"))
+    in_order = Window.partitionBy("consumer").orderBy("_block")
+    blocks = blocks.withColumn("_stretch", F.sum((F.col("_resets") > 0).cast("int")).over(in_order))
+    so_far = F.sum("_left").over(Window.partitionBy("consumer", "_stretch").orderBy("_block"))
+    carried = blocks.withColumn("_sum", so_far).select("consumer", "_block", F.coalesce(F.lag("_sum").over(in_order), F.lit(0)).alias("_carried"))
+    total = F.col("_own") + F.when(F.col("_run") == 0, F.col("_carried")).otherwise(0)
+    both = rows.join(carried, ["consumer", "_block"])
+    return both.withColumn("failures", F.when(F.col("outcome") == "delivery_error", F.lit(0)).otherwise(total).cast("long")).select(*outcomes.columns, "failures")
 
 
 def stops(runs: DataFrame, max_failures: int) -> DataFrame:

@@ -23,6 +23,11 @@ def live(leases: DataFrame, now: Column | int) -> DataFrame:
     return leases.where(F.col("expires_at_unix") > (F.lit(now) if isinstance(now, int) else now))
 
 
+def expired(leases: DataFrame, now: Column | int) -> DataFrame:
+    """Leases whose expiry has come."""
+    return leases.where(F.col("expires_at_unix") <= (F.lit(now) if isinstance(now, int) else now))
+
+
 def current(leases: DataFrame) -> DataFrame:
     """The lease with the highest fencing token of every key."""
     rest = [c for c in leases.columns if c not in KEY]
@@ -63,16 +68,24 @@ def release(versions: DataFrame, releases: DataFrame) -> DataFrame:
     return kept.withColumn("committed", F.col("committed") | F.coalesce(~F.col("_back"), F.lit(False))).select(*versions.columns)
 
 
-def fenced_writes(writes: DataFrame, leases: DataFrame) -> DataFrame:
-    """Writes that carry the key's current lease and fencing token."""
-    return writes.join(current(leases).select(*KEY, "lease_id", "fencing_token"), [*KEY, "lease_id", "fencing_token"], "left_semi")
+def release_leases(leases: DataFrame, releases: DataFrame, now: int) -> DataFrame:
+    """Leases after ``releases(namespace, key, lease_id)``: one that is released expires now, so its key is free."""
+    marks = releases.select(*KEY, "lease_id", F.lit(True).alias("_released")).distinct()
+    until = F.when(F.col("_released"), F.least("expires_at_unix", F.lit(now).cast("long"))).otherwise(F.col("expires_at_unix"))
+    return leases.join(marks, [*KEY, "lease_id"], "left").withColumn("expires_at_unix", until).select(*leases.columns)
+
+
+def fenced_writes(writes: DataFrame, leases: DataFrame, now: int) -> DataFrame:
+    """Writes that carry the key's current lease, while it is live, and its fencing token."""
+    return writes.join(live(current(leases), now).select(*KEY, "lease_id", "fencing_token"), [*KEY, "lease_id", "fencing_token"], "left_semi")
 
 
 @dataclass(frozen=True)
 class Update:
-    """What an update under leases leaves: the leases, staged versions, and releases to write."""
+    """What an update under leases leaves: the leases, the same released, staged versions, and releases to write."""
 
     granted: DataFrame
+    released: DataFrame
     staged: DataFrame | None
     releases: DataFrame
     error: Exception | None = None
@@ -88,9 +101,10 @@ def acquire_for_update(leases: DataFrame, versions: DataFrame, requests: DataFra
     granted = acquire(leases, requests, now)
     seen = granted.select(*KEY).join(state.latest(versions, public=False).select(*KEY, "doc", "version", "state_etag"), list(KEY), "left")
     freed = granted.select(*KEY, F.col("lease_id").alias("txn_id"))
+    after = release_leases(granted, granted, now)
     try:
         made = handler(seen)
     except Exception as error:  # the caller's code may raise anything
-        return Update(granted, None, freed.withColumn("rollback", F.lit(True)), error)
+        return Update(granted, after, None, freed.withColumn("rollback", F.lit(True)), error)
     free = made.select(*KEY, "doc").withColumn("if_version", F.lit(None).cast("long")).withColumn("if_state_etag", F.lit(None).cast("string"))
-    return Update(granted, state.update(versions, free), freed.withColumn("rollback", F.lit(False)))
+    return Update(granted, after, state.update(versions, free), freed.withColumn("rollback", F.lit(False)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,13 +17,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions import pointers
 from larkspur.plans.mutations import MutationError, Step
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 class _Number(str):
     """A number as it was spelled."""
 
 
+def _text(value: str) -> str:
+    """A JSON string; surrogates without their other half stay escapes, as UTF-8 has no bytes for them."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
+
+
+def _object(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    """An object whose names all differ; one of two equal names could not be addressed."""
+    made = dict(pairs)
+    if len(made) < len(pairs):
+        raise MutationError("a name occurs twice in an object")
+    return made
+
+
 def _no_constant(name: str) -> Any:
     raise MutationError(f"invalid JSON: {name}")
 
@@ -31,12 +49,12 @@ def _write(value: Any) -> str:
     if isinstance(value, _Number):
         return str(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{_text(k)}:{_write(v)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(_write, value)) + "]"
     if isinstance(value, float):
         return _spell(value)
-    return json.dumps(value, ensure_ascii=False)
+    return _text(value) if isinstance(value, str) else json.dumps(value)
 
 
 def _spell(x: float) -> str:
@@ -46,7 +64,7 @@ def _spell(x: float) -> str:
 
 
 def _index(segment: str) -> int:
-    return int(segment) if segment.isdigit() else -1
+    return int(segment) if pointers.is_index(segment) else -1
 
 
 def _parent(doc: Any, path: tuple[str, ...], create: bool) -> Any:
@@ -57,7 +75,7 @@ def _parent(doc: Any, path: tuple[str, ...], create: bool) -> Any:
             if segment not in at:
                 if not create:
                     return None
-                if path[n + 1].isdigit():
+                if pointers.is_index(path[n + 1]):
                     raise MutationError("missing array paths are not supported")
                 at[segment] = {}
             at = at[segment]
@@ -111,7 +129,7 @@ def mutate_text(doc: str | None, plan: list[Step]) -> str:
     """One document after all steps; a document without content begins as ``{}``."""
     text = doc if doc is not None and doc.strip() else "{}"
     try:
-        tree = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
+        tree = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant, object_pairs_hook=_object)
     except json.JSONDecodeError as e:
         raise MutationError(f"invalid JSON: {e.msg}") from e
     changed = [_apply(tree, step) for step in plan]

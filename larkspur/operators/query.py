@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import pointers
-from larkspur.plans.selectors import Selector, SelectorError
+from larkspur.plans.selectors import Selector, SelectorError, typed
 
 RETURN_MODES = ("documents", "keys", "compact")
 
@@ -37,7 +37,7 @@ def _visible(docs: DataFrame) -> DataFrame:
     return docs.where(~F.coalesce(F.col("query_hidden"), F.lit(False))) if "query_hidden" in docs.columns else docs
 
 
-def candidates(docs: DataFrame, query: Query, index: Mapping[str, str] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """All documents of the namespace that the selector holds for, hidden ones left out."""
     if not query.selector:
         raise SelectorError("a selector is required")
@@ -45,7 +45,7 @@ def candidates(docs: DataFrame, query: Query, index: Mapping[str, str] | None =
     return _visible(docs).where(F.col("namespace") == query.namespace).where(holds)
 
 
-def run(docs: DataFrame, query: Query, index: Mapping[str, str] | None = None) -> DataFrame:
+def run(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """One page, by key: ``key, doc`` (documents), ``key`` (keys) or ``key, version`` (compact)."""
     if query.returns not in RETURN_MODES:
         raise ValueError(f"unknown return mode {query.returns}")
@@ -69,8 +69,11 @@ def _columns(docs: DataFrame, query: Query) -> list[Column | str]:
     return [*known, *inside]
 
 
-def metadata(docs: DataFrame, query: Query, index: Mapping[str, str] | None = None) -> DataFrame:
-    """One row: ``query_candidates`` (visible documents of the namespace), ``query_matches``, ``cursor`` (last key), ``return_mode``."""
+def metadata(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row: ``query_candidates`` (visible documents of the namespace), ``query_matches``, ``cursor`` (last key), ``return_mode``, ``index_seq``.
+
+    ``index_seq`` is the last flush that a stored index holds; null for a scan.
+    """
     holds = Selector(index=index if query.engine == "index" else None).compile(query.selector)
     rows = _visible(docs).where(F.col("namespace") == query.namespace)
     return rows.agg(
@@ -78,10 +81,11 @@ def metadata(docs: DataFrame, query: Query, index: Mapping[str, str] | None = No
         F.count_if(holds).alias("query_matches"),
         F.max(F.when(holds, F.col("key"))).alias("cursor"),
         F.lit(query.returns).alias("return_mode"),
+        (F.max("index_seq") if query.engine == "index" and "index_seq" in docs.columns else F.lit(None).cast("long")).alias("index_seq"),
     )
 
 
-def pages(docs: DataFrame, query: Query, index: Mapping[str, str] | None = None) -> Iterator[DataFrame]:
+def pages(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]] | None = None) -> Iterator[DataFrame]:
     """Pages until one comes back short; each is read when asked for."""
     while True:
         page = run(docs, replace(query, returns="keys"), index)
@@ -110,21 +114,19 @@ def keys_envelope(page: DataFrame) -> DataFrame:
     return page.agg(F.array_sort(F.collect_list("key")).alias("keys"), F.max("key").alias("cursor"))
 
 
-def build_index(docs: DataFrame, fields: Iterable[tuple[str, str]]) -> tuple[DataFrame, dict[str, str]]:
+def build_index(docs: DataFrame, fields: Iterable[tuple[str, str]]) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
     """``docs`` with a typed column for each (pointer, type), and the mapping that selectors read."""
     mapping, out = {}, docs
     for field, kind in fields:
         name = "ix_" + "_".join(pointers.parse(field))
-        variant = F.try_variant_get(F.try_parse_json("doc"), pointers.spark_path(field), "variant")
-        families = {"bigint": "^BIGINT$", "double": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "string": "^STRING$", "boolean": "^BOOLEAN$"}
-        out = out.withColumn(name, F.when(F.schema_of_variant(variant).rlike(families[kind]), F.try_variant_get(F.try_parse_json("doc"), pointers.spark_path(field), kind)))
-        mapping[field] = name
+        out = out.withColumn(name, typed(F.try_variant_get(F.try_parse_json("doc"), pointers.spark_path(field), "variant"), kind))
+        mapping[field] = (name, kind)
     return out, mapping
 
 
-def write_index(indexed: DataFrame, path: str) -> None:
-    """Write an index table by namespace, sorted by key, so keyset pages skip row groups."""
-    indexed.repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key").write.mode("overwrite").partitionBy("namespace").parquet(path)
+def write_index(indexed: DataFrame, path: str, index_seq: int = 0) -> None:
+    """Write an index table by namespace, sorted by key, so keyset pages skip row groups; every row has the flush it was written by."""
+    indexed.withColumn("index_seq", F.lit(index_seq).cast("long")).repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key").write.mode("overwrite").partitionBy("namespace").parquet(path)
 
 
 def refresh(spark: SparkSession, path: str) -> None:

@@ -68,6 +68,41 @@ def dequeue(messages: DataFrame, now: Column, page_size: int = 1, start_after: C
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(page_size, 1))
 
 
+def deliver(messages: DataFrame, consumers: DataFrame, now: int) -> DataFrame:
+    """Deliveries of a batch of ``consumers(namespace, queue, consumer, page_size, request_id)``.
+
+    The oldest deliverable messages of a queue go to its consumers in the order
+    of their requests, each message to one of them. A delivery has a lease and
+    hides its message for the visibility timeout; its row is also the event
+    (``kind`` deliver) that :func:`fold` reads. ``messages`` are folded ones.
+    """
+    order = Window.partitionBy(*QUEUE).orderBy("request_id", "consumer")
+    asked = consumers.withColumn("_until", F.sum("page_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    places = asked.select(*QUEUE, "consumer", "request_id", F.explode(F.sequence(F.col("_until") - F.col("page_size") + 1, F.col("_until"))).alias("rank"))
+    first = Window.partitionBy(*QUEUE).orderBy("enqueued_at_unix", "message_id")
+    wanted = asked.groupBy(*QUEUE).agg(F.max("_until").alias("_wanted"))
+    ready = messages.where(deliverable(F.lit(now))).join(wanted, list(QUEUE))
+    ranked = ready.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.col("_wanted"))
+    return ranked.join(places, [*QUEUE, "rank"]).select(
+        *QUEUE,
+        "message_id",
+        "consumer",
+        F.sha2(F.concat_ws("/", *QUEUE, F.col("message_id").cast("string"), F.col("request_id").cast("string"), F.lit(str(now))), 256).alias("lease_id"),
+        F.lit("deliver").alias("kind"),
+        F.lit(now).cast("long").alias("at_unix"),
+        F.col("visibility_timeout_seconds").alias("delay_seconds"),
+        (F.lit(now) + F.col("visibility_timeout_seconds")).cast("long").alias("lease_expires_at_unix"),
+        (F.coalesce("attempts", F.lit(0)) + 1).cast("long").alias("attempts"),
+    )
+
+
+def extend(deliveries: DataFrame, asks: DataFrame, now: int) -> DataFrame:
+    """Live deliveries of ``asks(message_id, lease_id, extend_seconds)`` with their new expiry, as ``extend`` events."""
+    live = deliveries.where(F.col("lease_expires_at_unix") > now).join(asks, ["message_id", "lease_id"])
+    made = live.withColumn("kind", F.lit("extend")).withColumn("at_unix", F.lit(now).cast("long")).withColumn("delay_seconds", F.col("extend_seconds").cast("long"))
+    return made.withColumn("lease_expires_at_unix", (F.lit(now) + F.col("extend_seconds")).cast("long")).select(*deliveries.columns)
+
+
 def with_state(messages: DataFrame, states: DataFrame) -> DataFrame:
     """Messages with the state bound to them, if any (``states``: namespace, key, state columns)."""
     keyed = messages.withColumn("state_key", queue_state_key(F.col("queue"), F.col("message_id").cast("string")))
@@ -88,8 +123,10 @@ def nack(events: DataFrame, intent: str, delay_seconds: int = 0) -> DataFrame:
     return events.select("message_id", F.lit(kinds[intent]).alias("kind"), "at_unix", F.lit(delay_seconds).cast("long").alias("delay_seconds"))
 
 
-def stats(messages: DataFrame, now: Column) -> DataFrame:
-    """One row for each queue: candidates, availability, and id, times and age of its head.
+def stats(messages: DataFrame, now: Column, consumers: DataFrame | None = None) -> DataFrame:
+    """One row for each queue: candidates, availability, consumers, and id, times and age of its head.
+
+    ``consumers(namespace, queue, consumer, waiting)``: all that are connected.
 
     One aggregate with partial sums; the head is a ``min_by``, so a queue of
     any size sends one row from each task.
@@ -97,8 +134,15 @@ def stats(messages: DataFrame, now: Column) -> DataFrame:
     ready = deliverable(now)
     head = F.min(F.when(ready, F.struct("enqueued_at_unix", "message_id", "not_visible_until_unix")))
     told = messages.groupBy(*QUEUE).agg(F.count_if(ready).alias("pending_candidates"), head.alias("head"))
+    if consumers is None:
+        told = told.withColumn("waiting_consumers", F.lit(0).cast("long")).withColumn("total_consumers", F.lit(0).cast("long"))
+    else:
+        here = consumers.groupBy(*QUEUE).agg(F.count_if("waiting").alias("waiting_consumers"), F.count(F.lit(1)).alias("total_consumers"))
+        told = told.join(here, list(QUEUE), "left").na.fill(0, ["waiting_consumers", "total_consumers"])
     return told.select(
         *QUEUE,
+        "waiting_consumers",
+        "total_consumers",
         "pending_candidates",
         (F.col("pending_candidates") > 0).alias("available"),
         F.col("head.message_id").alias("head_message_id"),

@@ -27,13 +27,16 @@ def latest(versions: DataFrame, public: bool = True) -> DataFrame:
     An aggregate, not a window: it combines before the shuffle, so a key with
     many versions sends one row from each task.
     """
-    seen = versions.where("committed") if public and "committed" in versions.columns else versions
-    rest = [c for c in versions.columns if c not in KEY]
-    best = seen.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col("version")).alias("_last"))
-    out = best.select(*KEY, "_last.*")
+    out = newest(versions.where("committed") if public and "committed" in versions.columns else versions)
     return out.where(~F.coalesce(F.col("removed"), F.lit(False))) if "removed" in versions.columns else out
 
 
+def newest(versions: DataFrame) -> DataFrame:
+    """The row with the highest version of every key, tombstones with the others."""
+    rest = [c for c in versions.columns if c not in KEY]
+    return versions.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col("version")).alias("_last")).select(*KEY, "_last.*")
+
+
 def get(versions: DataFrame, key: str, namespace: str = "default", public: bool = True) -> DataFrame:
     """The document of one key; no row where there is no content."""
     return latest(versions.where((F.col("namespace") == namespace) & (F.col("key") == key)), public)
@@ -56,17 +59,25 @@ def save(rows: DataFrame, fields: list[str], doc_col: str = "doc") -> DataFrame:
 
 
 def check_writes(versions: DataFrame, writes: DataFrame) -> DataFrame:
-    """``writes`` with ``current_version`` and ``conflict``.
+    """``writes`` with ``current_version``, ``exists`` and ``conflict``.
 
     A write names ``if_version`` and ``if_state_etag`` (null: no condition,
-    and an empty etag is none). A key without versions has version 0.
+    and an empty etag is none). A key without versions has version 0. A
+    tombstone is a version like any other, so what is written after a remove
+    stands above it; it has no etag. Of several writes of a batch to one key
+    that meet their conditions, one is made (the least ``write_id``, where
+    there is such a column, then the least document); the others are conflicts.
     """
-    now = latest(versions, public=False).select(*KEY, F.col("version").alias("current_version"), F.col("state_etag").alias("current_etag"))
-    both = writes.join(now, list(KEY), "left").withColumn("current_version", F.coalesce("current_version", F.lit(0).cast("long")))
+    gone = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in versions.columns else F.lit(False)
+    now = newest(versions.select(*KEY, "version", "state_etag", gone.alias("removed")))
+    now = now.select(*KEY, F.col("version").alias("current_version"), F.when(~F.col("removed"), F.col("state_etag")).alias("current_etag"), (~F.col("removed")).alias("exists"))
+    both = writes.join(now, list(KEY), "left").withColumn("current_version", F.coalesce("current_version", F.lit(0).cast("long"))).withColumn("exists", F.coalesce("exists", F.lit(False)))
     wrong_version = F.coalesce(F.col("if_version") != F.col("current_version"), F.lit(False))
     wanted = F.nullif(F.col("if_state_etag"), F.lit(""))
     wrong_etag = wanted.isNotNull() & ~wanted.eqNullSafe(F.col("current_etag"))
-    return both.withColumn("conflict", wrong_version | wrong_etag)
+    order = [c for c in ("write_id", "doc") if c in writes.columns] or [F.lit(0)]
+    nth = F.row_number().over(Window.partitionBy(*KEY, "_wrong").orderBy(*order))
+    return both.withColumn("_wrong", wrong_version | wrong_etag).withColumn("conflict", F.col("_wrong") | (nth > 1)).drop("_wrong")
 
 
 def update(versions: DataFrame, writes: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def update(versions: DataFrame, writes: DataFrame) -> DataFrame:
 def remove(versions: DataFrame, writes: DataFrame) -> DataFrame:
     """Tombstones for the keys of the writes: ``removed`` says whether there was state."""
     good = check_writes(versions, writes).where(~F.col("conflict"))
-    return good.select(*KEY, (F.col("current_version") + 1).alias("version"), F.lit(None).cast("string").alias("doc"), (F.col("current_version") > 0).alias("removed"))
+    return good.select(*KEY, (F.col("current_version") + 1).alias("version"), F.lit(None).cast("string").alias("doc"), F.col("exists").alias("removed"))
 
 
 def set_hidden(versions: DataFrame, marks: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ class Parser:
 
 
 def split_parts(body: str) -> list[str]:
-    """The parts between commas or line ends that stand outside quotes and inner braces."""
+    """The parts between commas or line ends that stand outside quotes and inner braces; what is not closed reaches to the end."""
     parts, part, quote, depth, skip = [], "", "", 0, False
     for c in body:
         if skip:
@@ -181,6 +181,4 @@ def split_parts(body: str) -> list[str]:
             part = ""
             continue
         part += c
-    if quote or depth:
-        raise MutationError("quotes or braces are not closed")
     return [p.strip() for p in [*parts, part] if p.strip()]

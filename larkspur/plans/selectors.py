@@ -4,8 +4,10 @@
 scalar; any other object is a shorthand whose top-level names must all equal
 their values. Types are strict: the number 1 and the text "1" differ. ``and``,
 ``or``, ``not``, ``exists``, ``in``, ``prefix`` and ``range`` are extensions
-of this library. Fields that a table keeps as columns of their own (an
-*index*) are read from there, so Parquet can skip row groups by them. A condition on a field that is missing is null, which a
+of this library. Fields that a table keeps as typed columns of their own (an
+*index*) are read from there, so Parquet can skip row groups by them: alone
+where the column has every value that the condition can hold for, and before
+the document where it has these and others. Else the document is read. A condition on a field that is missing is null, which a
 filter takes as false; only ``not`` turns null to false first, so all other
 conditions on index columns reach the scan.
 """
@@ -30,7 +32,7 @@ class SelectorError(ValueError):
 class Selector:
     """Compiles selectors against a document column and its index columns."""
 
-    def __init__(self, doc: str = "doc", index: Mapping[str, str] | None = None) -> None:
+    def __init__(self, doc: str = "doc", index: Mapping[str, tuple[str, str]] | None = None) -> None:
         self.doc, self.index = doc, dict(index or {})
 
     def compile(self, selector: str | dict) -> Column:
@@ -70,10 +72,10 @@ class Selector:
         return reduce(lambda a, b: a | b, [self._equals(body["field"], v) for v in body["values"]])
 
     def _op_prefix(self, body: dict) -> Column:
-        return self._typed(body["field"], "string").startswith(body["value"])
+        return self._read(body["field"], "string").startswith(body["value"])
 
     def _op_range(self, body: dict) -> Column:
-        value = self._number(body["field"])
+        value = self._read(body["field"], "double")
         tests = {"gt": lambda x: value > x, "gte": lambda x: value >= x, "lt": lambda x: value < x, "lte": lambda x: value <= x}
         found = [tests[k](F.lit(float(x)) if isinstance(x, float) else F.lit(x)) for k, x in body.items() if k in tests]
         if not found:
@@ -83,36 +85,35 @@ class Selector:
     def _variant(self, field: str) -> Column:
         return F.try_variant_get(F.try_parse_json(F.col(self.doc)), pointers.spark_path(field), "variant")
 
-    def _kind(self, field: str) -> Column:
-        return F.schema_of_variant(self._variant(field))
+    def _indexed(self, field: str, kind: str) -> Column | None:
+        name, own = self.index.get(field, ("", ""))
+        return F.col(name) if own == kind else None
 
-    def _typed(self, field: str, kind: str) -> Column:
-        if field in self.index:
-            return F.col(self.index[field])
-        value = F.try_variant_get(F.try_parse_json(F.col(self.doc)), pointers.spark_path(field), kind)
-        return F.when(self._kind(field) == {"string": "STRING", "boolean": "BOOLEAN"}[kind], value)
-
-    def _number(self, field: str) -> Column:
-        if field in self.index:
-            return F.col(self.index[field])
-        value = F.try_variant_get(F.try_parse_json(F.col(self.doc)), pointers.spark_path(field), "double")
-        return F.when(self._kind(field).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), value)
-
-    def _whole(self, field: str) -> Column:
-        if field in self.index:
-            return F.col(self.index[field])
-        value = F.try_variant_get(F.try_parse_json(F.col(self.doc)), pointers.spark_path(field), "bigint")
-        return F.when(self._kind(field) == "BIGINT", value)
+    def _read(self, field: str, kind: str) -> Column:
+        """A field's value where it is of a kind (a double is any number, a bigint a whole one); else null."""
+        column = self._indexed(field, kind)
+        return typed(self._variant(field), kind) if column is None else column
 
     def _equals(self, field: str, value: Any) -> Column:
         if value is None:
             return F.is_variant_null(self._variant(field))
-        if isinstance(value, bool):
-            return self._typed(field, "boolean") == F.lit(value)
-        if isinstance(value, int):
-            return self._whole(field) == F.lit(value)
-        if isinstance(value, float):
-            return self._number(field) == F.lit(value)
-        if isinstance(value, str):
-            return self._typed(field, "string") == F.lit(value)
-        raise SelectorError("only scalars can be compared")
+        for known, kind in ((bool, "boolean"), (int, "bigint"), (float, "double"), (str, "string")):
+            if isinstance(value, known):
+                break
+        else:
+            raise SelectorError("only scalars can be compared")
+        if kind == "bigint" and not -(1 << 63) <= value < 1 << 63:
+            return F.lit(False)
+        holds = self._read(field, kind) == F.lit(value).cast(kind)
+        numbers = self._indexed(field, "double") if kind == "bigint" else None
+        # a column of all numbers skips row groups; the document tells 1 from 1.0
+        return holds if numbers is None else (numbers == F.lit(float(value))) & holds
+
+
+#: Families of a variant's type name.
+_FAMILIES = {"bigint": "^BIGINT$", "double": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "string": "^STRING$", "boolean": "^BOOLEAN$"}
+
+
+def typed(variant: Column, kind: str) -> Column:
+    """A variant's value where its own type is of the kind; else null."""
+    return F.when(F.schema_of_variant(variant).rlike(_FAMILIES[kind]), F.try_variant_get(variant, "$", kind))

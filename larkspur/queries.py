@@ -7,17 +7,22 @@ props), messages are ``events`` too (queue = event_type), attachments are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions import backoff, scalars, times
+from larkspur.functions import backoff, pointers, scalars, times
 from larkspur.operators import attachments, catalog, consumers, leases, mutate, queues, state
 from larkspur.operators import query as docs_query
-from larkspur.plans.mutations import Parser
-from larkspur.streaming import watch
+from larkspur.plans.mutations import MutationError, Parser
+from larkspur.shared import shared_path
+from larkspur.sources import bytes_io
+from larkspur.streaming import subscribe, watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,7 +143,7 @@ def query_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_query.run(hidden, docs_query.Query({"range": {"field": "/k", "gte": 90}}, returns="keys"))
 
 
-@query(f"SELECT count(*) AS query_candidates, count(*) FILTER ({_K} = 69) AS query_matches, max(key) FILTER ({_K} = 69) AS cursor, 'keys' AS return_mode FROM {_DOCS}")
+@query(f"SELECT count(*) AS query_candidates, count(*) FILTER ({_K} = 69) AS query_matches, max(key) FILTER ({_K} = 69) AS cursor, 'keys' AS return_mode, CAST(NULL AS BIGINT) AS index_seq FROM {_DOCS}")
 def query_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_query.metadata(_all_namespaces(_docs(spark, sf_dir)), docs_query.Query(_EQ, returns="keys"))
 
@@ -154,6 +159,50 @@ def query_index_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_query.run(indexed, docs_query.Query(_EQ, engine="index"), mapping)
 
 
+#: Documents whose field is a whole number, a fraction, a text, null or missing.
+_MIXED = "(SELECT printf('events/%012d', event_id) AS key, event_id % 6 AS m, event_id % 10 AS n FROM events)"
+_LEAVES = [
+    ({"eq": {"field": "/k", "value": 1}}, "m IN (0, 5) AND n = 1"),
+    ({"eq": {"field": "/k", "value": 1.0}}, "(m IN (0, 5) AND n = 1)"),
+    ({"eq": {"field": "/k", "value": 2.5}}, "m = 1 AND n = 2"),
+    ({"eq": {"field": "/k", "value": "1"}}, "m = 2 AND n = 1"),
+    ({"range": {"field": "/k", "gt": 1.5, "lte": 7}}, "(m IN (0, 5) AND n BETWEEN 2 AND 7) OR (m = 1 AND n BETWEEN 2 AND 6) OR (m = 1 AND n = 1 AND false)"),
+    ({"prefix": {"field": "/k", "value": "1"}}, "m = 2 AND n = 1"),
+    ({"eq": {"field": "/k", "value": None}}, "m = 3"),
+    ({"not": {"exists": {"field": "/k"}}}, "m = 4"),
+]
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, n = F.col("event_id") % 6, (F.col("event_id") % 10).cast("string")
+    value = F.when(m.isin(0, 5), n).when(m == 1, F.concat(n, F.lit(".5"))).when(m == 2, F.concat(F.lit('"'), n, F.lit('"'))).when(m == 3, F.lit("null"))
+    doc = F.coalesce(F.concat(F.lit('{"k":'), value, F.lit("}")), F.lit("{}"))
+    return _docs(spark, sf_dir).select(F.lit("default").alias("namespace"), "key", doc.alias("doc"))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS leaf, kind, count(*) FILTER ({sql}) AS n, max(key) FILTER ({sql}) AS last FROM {_MIXED}, (VALUES ('bigint'), ('double'), ('string'), ('boolean')) t(kind) GROUP BY kind" for i, (_, sql) in enumerate(_LEAVES)))
+def query_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf over a stored index of every type: the rows of a scan, and the flush that the index holds."""
+    docs, found = _mixed(spark, sf_dir), []
+    for kind in ("bigint", "double", "string", "boolean"):
+        indexed, mapping = docs_query.build_index(docs, [("/k", kind)])
+        path = shared_path(spark, f"index-{kind}")
+        docs_query.write_index(indexed, path, index_seq=7)
+        stored = spark.read.parquet(path)
+        for i, (leaf, _) in enumerate(_LEAVES):
+            told = docs_query.metadata(stored, docs_query.Query(leaf, engine="index"), mapping).where("index_seq = 7")
+            found.append(told.select(F.lit(i).alias("leaf"), F.lit(kind).alias("kind"), F.col("query_matches").alias("n"), F.col("cursor").alias("last")))
+    return reduce(DataFrame.union, found)
+
+
+@query(f"SELECT key FROM {_DOCS} WHERE {_K} = 69 ORDER BY key LIMIT 40")
+def query_stream_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of one page, handed to a callback one by one."""
+    page, got = docs_query.run(_all_namespaces(_docs(spark, sf_dir)), docs_query.Query(_EQ, returns="keys", limit=40)), []
+    docs_query.stream_keys(page, lambda: None, got.append, lambda: None)
+    return spark.createDataFrame([(k,) for k in got], "key string")
+
+
 @query(f"SELECT string_agg(key, ',' ORDER BY key) AS keys, max(key) AS cursor FROM (SELECT key FROM {_DOCS} WHERE {_K} = 69 ORDER BY key LIMIT 40)")
 def query_keys_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = docs_query.run(_all_namespaces(_docs(spark, sf_dir)), docs_query.Query(_EQ, returns="keys", limit=40))
@@ -211,6 +260,37 @@ def mutate_type_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.mutate(texts, Parser().plan(["/k++"]), strict=False).select("event_id", "mutation_error")
 
 
+@query(f"SELECT event_id, concat('{{\"a\":[1,{{\"n\":', {_K} + 1, '}}]}}') AS doc FROM {_DOCS}")
+def mutate_array_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = _docs(spark, sf_dir).select("event_id", F.regexp_replace("doc", r".*?(\d+).*", '{"a":[1,{"n":$1},3]}').alias("doc"))
+    return mutate.mutate(arrays, Parser().plan(["/a/1/n++", "rm:/a/2"]))
+
+
+@query("SELECT '/k=0' AS expression, 'increment mutation requires non-zero delta' AS error UNION ALL SELECT '/k=0x0p1', 'increment mutation requires non-zero delta' UNION ALL SELECT '/k=\"0\"', NULL UNION ALL SELECT '/k=-0.5', NULL")
+def mutate_zero_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def error(expression: str) -> str | None:
+        try:
+            Parser().plan([expression])
+        except MutationError as e:
+            return str(e)
+        return None
+
+    return spark.createDataFrame([(e, error(e)) for e in ("/k=0", "/k=0x0p1", '/k="0"', "/k=-0.5")], "expression string, error string")
+
+
+_mutate_query("mutate_file_auto", f"concat('{{\"k\":', {_K}, ',\"t\":\"hi\",\"b\":\"AP8=\"}}')", "file:/t=a.txt", "file:/b=b.bin", files={"a.txt": b"hi", "b.bin": b"\x00\xff"})
+
+
+@query(f"SELECT event_id, concat('{{\"k\":', {_K}, ',\"t\":\"below\"}}') AS doc FROM {_DOCS}")
+def mutate_path_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that is named from a base folder, read once on the driver when the plan is made."""
+    with tempfile.TemporaryDirectory() as folder:
+        (Path(folder) / "sub").mkdir()
+        (Path(folder) / "sub" / "note.txt").write_text("below")
+        plan = Parser(base_dir=folder).plan(["textfile:/t=sub/../sub/note.txt"])
+    return mutate.mutate(_docs(spark, sf_dir).select("event_id", "doc"), plan)
+
+
 # --- state
 
 
@@ -231,7 +311,7 @@ def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WRITES = "(SELECT printf('user/%d', c_custkey) AS key, c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 60 WHEN 1 THEN 0 END AS if_version FROM customer)"
-_CHECKED = f"(SELECT w.*, coalesce(l.version, 0) AS current_version, coalesce(w.if_version <> coalesce(l.version, 0), false) AS conflict FROM {_WRITES} w LEFT JOIN (SELECT * FROM {_LATEST} WHERE NOT removed) l USING (key))"
+_CHECKED = f"(SELECT w.*, coalesce(l.version, 0) AS current_version, coalesce(NOT l.removed, false) AS there, coalesce(w.if_version <> coalesce(l.version, 0), false) AS conflict FROM {_WRITES} w LEFT JOIN {_LATEST} l USING (key))"
 
 
 @query(f"SELECT key, current_version, conflict FROM {_CHECKED}")
@@ -244,11 +324,33 @@ def state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.update(_user_versions(spark, sf_dir), _writes(spark, sf_dir)).select("key", "version", "bytes", "state_etag")
 
 
-@query(f"SELECT key, current_version + 1 AS version, current_version > 0 AS removed FROM {_CHECKED} WHERE NOT conflict")
+@query(f"SELECT key, current_version + 1 AS version, there AS removed FROM {_CHECKED} WHERE NOT conflict")
 def state_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.remove(_user_versions(spark, sf_dir), _writes(spark, sf_dir)).select("key", "version", "removed")
 
 
+@query(f"SELECT key, max(version) + 1 AS version, 'back' AS doc FROM {_VERSIONS} GROUP BY key HAVING arg_max(removed, version)")
+def state_write_after_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes to removed keys, read back: they stand above the tombstone."""
+    versions = _user_versions(spark, sf_dir)
+    writes = state.newest(versions).where("removed").select("namespace", "key", F.lit(None).cast("long").alias("if_version"), F.lit(None).cast("string").alias("if_state_etag"), F.lit("back").alias("doc"))
+    made = state.update(versions, writes).withColumn("removed", F.lit(False)).withColumn("committed", F.lit(True))
+    both = versions.unionByName(made, allowMissingColumns=True)
+    return state.latest(both).join(writes.select("namespace", "key"), ["namespace", "key"], "left_semi").select("key", "version", "doc")
+
+
+@query(
+    f"""SELECT key, c_custkey, coalesce(l.version, 0) + 1 AS version, row_number() OVER (PARTITION BY key ORDER BY c_custkey) > 1 AS conflict
+    FROM (SELECT printf('user/%d', c_custkey % 100) AS key, c_custkey FROM customer) LEFT JOIN (SELECT key, max(version) AS version FROM {_VERSIONS} GROUP BY key) l USING (key)"""
+)
+def state_batch_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many writes to one key in a batch: the first by id is made."""
+    c = _table(spark, sf_dir, "customer")
+    writes = c.select(F.lit("default").alias("namespace"), F.format_string("user/%d", F.col("c_custkey") % 100).alias("key"), F.lit(None).cast("long").alias("if_version"), F.lit("").alias("if_state_etag"), F.col("c_custkey").alias("write_id"), F.lit("{}").alias("doc"))
+    checked = state.check_writes(_user_versions(spark, sf_dir), writes)
+    return checked.select("key", F.col("write_id").alias("c_custkey"), (F.col("current_version") + 1).alias("version"), "conflict")
+
+
 @query(f"SELECT key, version, updated_at_unix FROM {_LATEST} WHERE NOT removed")
 def state_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.describe(_user_versions(spark, sf_dir)).select("key", "version", "updated_at_unix")
@@ -318,8 +420,15 @@ _REQUESTS = "(SELECT printf('user/%d', c_custkey % 500) AS key, c_name AS owner,
 
 @query(f"SELECT key, lease_id FROM {_LEASES} WHERE expires_at_unix <= {NOW}")
 def lease_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _leases(spark, sf_dir)
-    return rows.join(leases.live(rows, NOW).select("lease_id"), "lease_id", "left_anti").select("key", "lease_id")
+    return leases.expired(_leases(spark, sf_dir), NOW).select("key", "lease_id")
+
+
+@query(f"SELECT key, lease_id, fencing_token % 2 = 0 OR expires_at_unix <= {NOW} AS free FROM {_CURRENT}")
+def lease_release_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current leases after those with even tokens were released: which keys are free."""
+    rows = leases.current(_leases(spark, sf_dir))
+    after = leases.release_leases(rows, rows.where("fencing_token % 2 = 0").select("namespace", "key", "lease_id"), NOW)
+    return after.select("key", "lease_id", (F.col("expires_at_unix") <= NOW).alias("free"))
 
 
 @query(f"SELECT key, lease_id, fencing_token FROM {_CURRENT}")
@@ -356,17 +465,17 @@ def lease_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.release(staged, done).select("key", "version", "committed")
 
 
-@query(f"SELECT key, fencing_token FROM {_CURRENT} WHERE fencing_token % 2 = 0")
+@query(f"SELECT key, fencing_token FROM {_CURRENT} WHERE fencing_token % 2 = 0 AND expires_at_unix > {NOW}")
 def lease_fenced_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _leases(spark, sf_dir)
     # writes with odd tokens come with the token before theirs, which is stale
     writes = rows.withColumn("fencing_token", F.col("fencing_token") - F.col("fencing_token") % 2)
-    return leases.fenced_writes(writes, rows).select("key", "fencing_token")
+    return leases.fenced_writes(writes, rows, NOW).select("key", "fencing_token")
 
 
 @query(
-    f"""SELECT key, coalesce(l.version, 0) + 1 AS version, '{{"seen":' || coalesce(l.version, 0) || '}}' AS doc FROM (SELECT DISTINCT key FROM {_REQUESTS}) r
-    LEFT JOIN (SELECT key, max(expires_at_unix) AS until FROM {_LEASES} GROUP BY key) h USING (key) LEFT JOIN (SELECT * FROM {_LATEST} WHERE NOT removed) l USING (key) WHERE coalesce(h.until, 0) <= {NOW}"""
+    f"""SELECT key, coalesce(l.version, 0) + 1 AS version, '{{"seen":' || CASE WHEN l.removed THEN 0 ELSE coalesce(l.version, 0) END || '}}' AS doc FROM (SELECT DISTINCT key FROM {_REQUESTS}) r
+    LEFT JOIN (SELECT key, max(expires_at_unix) AS until FROM {_LEASES} GROUP BY key) h USING (key) LEFT JOIN {_LATEST} l USING (key) WHERE coalesce(h.until, 0) <= {NOW}"""
 )
 def lease_acquire_for_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     def handler(seen: DataFrame) -> DataFrame:
@@ -432,11 +541,47 @@ def queue_failure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT queue, count(*) FILTER ({_READY}) AS pending_candidates, count(*) FILTER ({_READY}) > 0 AS available, arg_min(message_id, enqueued_at_unix * 1000000000 + message_id) FILTER ({_READY}) AS head_message_id,
-    min(enqueued_at_unix) FILTER ({_READY}) AS head_enqueued_at_unix, {NOW} - min(enqueued_at_unix) FILTER ({_READY}) AS head_age_seconds FROM {_MESSAGES} GROUP BY queue"""
+    min(enqueued_at_unix) FILTER ({_READY}) AS head_enqueued_at_unix, {NOW} - min(enqueued_at_unix) FILTER ({_READY}) AS head_age_seconds, count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS waiting_consumers,
+    count(DISTINCT user_id) AS total_consumers FROM {_MESSAGES} GROUP BY queue"""
 )
 def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _messages(spark, sf_dir).withColumn("failure_attempts", F.lit(0))
-    return queues.stats(rows, F.lit(NOW)).select("queue", "pending_candidates", "available", "head_message_id", "head_enqueued_at_unix", "head_age_seconds")
+    here = rows.select("namespace", "queue", F.col("user_id").alias("consumer"), (F.col("user_id") % 2 == 0).alias("waiting")).distinct()
+    return queues.stats(rows, F.lit(NOW), here).select("queue", "pending_candidates", "available", "head_message_id", "head_enqueued_at_unix", "head_age_seconds", "waiting_consumers", "total_consumers")
+
+
+def _consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two to four consumers for each queue, which ask for 3 messages each."""
+    r = _table(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_nationkey").alias("request_id"), F.col("n_name").alias("consumer"))
+    q = F.explode(F.array(*(F.lit(x) for x in ("click", "error", "purchase", "signup", "view")))).alias("queue")
+    return r.select(F.lit("default").alias("namespace"), q, "consumer", F.lit(3).alias("page_size"), "request_id")
+
+
+_DELIVERED = f"""(SELECT queue, message_id, n_name AS consumer, {NOW} + 30 AS until FROM (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY enqueued_at_unix, message_id) AS rank FROM {_MESSAGES} WHERE {_READY})
+    JOIN nation ON n_nationkey = (rank - 1) // 3 WHERE rank <= 12)"""
+
+
+@query(f"SELECT queue, message_id, consumer, until AS lease_expires_at_unix FROM {_DELIVERED}")
+def queue_deliver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _messages(spark, sf_dir).withColumn("failure_attempts", F.lit(0)).withColumn("attempts", F.lit(0))
+    return queues.deliver(rows, _consumers(spark, sf_dir), NOW).select("queue", "message_id", "consumer", F.col("lease_expires_at_unix").cast("int").alias("lease_expires_at_unix"))
+
+
+@query(f"SELECT queue, message_id, {NOW} + 10 + message_id % 100 AS lease_expires_at_unix FROM {_DELIVERED} WHERE until > {NOW} + 10")
+def queue_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _messages(spark, sf_dir).withColumn("failure_attempts", F.lit(0)).withColumn("attempts", F.lit(0))
+    made = queues.deliver(rows, _consumers(spark, sf_dir), NOW)
+    asks = made.select("message_id", "lease_id", (F.col("message_id") % 100).alias("extend_seconds"))
+    return queues.extend(made, asks, NOW + 10).select("queue", "message_id", "lease_expires_at_unix")
+
+
+@query(f"SELECT queue, message_id FROM {_MESSAGES} WHERE {_READY} AND (queue, message_id) NOT IN (SELECT (queue, message_id) FROM {_DELIVERED})")
+def queue_delivered_are_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second batch of consumers may still get, right after the first."""
+    messages = _messages(spark, sf_dir)
+    rows = messages.withColumn("failure_attempts", F.lit(0)).withColumn("attempts", F.lit(0))
+    made = queues.deliver(rows, _consumers(spark, sf_dir), NOW).select("message_id", "kind", "at_unix", "delay_seconds")
+    return queues.fold(messages, made).where(queues.deliverable(F.lit(NOW))).select("queue", "message_id")
 
 
 @query(f"SELECT queue, message_id, printf('q/%s/state/%d', queue, message_id) AS state_key, CASE WHEN message_id % 2 = 0 THEN c_name END AS c_name FROM {_MESSAGES} LEFT JOIN customer ON user_id = c_custkey")
@@ -475,22 +620,19 @@ _FILES = "(SELECT page_id AS id, printf('site/%d', page_id % 10) AS key, printf(
 
 
 @query(
-    f"""SELECT id, CASE WHEN octet_length(encode(html)) > 4000 THEN 'too_large' WHEN row_number() OVER (PARTITION BY key, name ORDER BY id) > 1 OR id % 7 = 0 THEN 'exists' ELSE 'stored' END AS outcome
-    FROM {_FILES} WHERE name NOT IN (SELECT name FROM {_FILES} WHERE id % 7 = 0) OR id % 7 = 0""",
+    f"""SELECT id, CASE WHEN octet_length(encode(html)) > 4000 THEN 'too_large' WHEN row_number() OVER (PARTITION BY key, name ORDER BY id) > 1 OR bool_or(id % 7 = 0) OVER (PARTITION BY key, name) THEN 'exists' ELSE 'stored' END AS outcome
+    FROM {_FILES}""",
 )
 def attachment_prevent_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _attachments(spark, sf_dir).withColumn("name", F.format_string("file-%d", F.col("id") % 70))
     stored = attachments.described(files.where("id % 7 = 0")).groupBy("namespace", "key", "name").agg(F.min_by("plaintext_sha256", "id").alias("plaintext_sha256"))
-    made = attachments.attach(stored, files, F.col("id"), max_bytes=4000, prevent_overwrite=True)
-    names = files.where("id % 7 = 0").select(F.col("name").alias("n")).distinct()
-    return made.join(names, made["name"] == names["n"], "left").where("n is null or id % 7 = 0").select("id", "outcome")
+    return attachments.attach(stored, files, F.col("id"), max_bytes=4000, prevent_overwrite=True).select("id", "outcome")
 
 
-@query("SELECT page_id AS id, url AS name FROM pages WHERE page_id % 3 <> 0")
+@query("SELECT page_id AS id, url AS name FROM pages WHERE url NOT IN (SELECT url FROM pages p WHERE p.page_id % 3 = 0 AND p.page_id % 10 = pages.page_id % 10)")
 def attachment_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _attachments(spark, sf_dir)
-    left, _ = attachments.delete(stored, stored.where("id % 3 = 0").select("namespace", "key", "name").distinct())
-    return left.join(stored.where("id % 3 = 0").select("id"), "id", "left_anti").select("id", "name")
+    return attachments.delete(stored, stored.where("id % 3 = 0").select("namespace", "key", "name").distinct())[0].select("id", "name")
 
 
 @query("SELECT count(*) AS deleted_count FROM pages WHERE page_id % 10 = 3")
@@ -501,13 +643,159 @@ def attachment_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id AS id, html AS payload FROM pages WHERE url = (SELECT min(url) FROM pages)")
 def attachment_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _attachments(spark, sf_dir)
-    first = stored.agg(F.min("name").alias("name"))
-    return stored.join(first, "name", "left_semi").select("id", "payload")
+    return attachments.select(stored, name=stored.agg(F.min("name")).first()[0]).select("id", "payload")
+
+
+@query("SELECT page_id AS id, url AS name FROM pages WHERE page_id = 7")
+def attachment_get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attachments.select(_attachments(spark, sf_dir), attachment_id=7).select("id", "name")
+
+
+# --- sources and sinks
+
+
+@query("SELECT * FROM (VALUES ('a', 1), ('', 0), ('äb', 3)) t(text, size)")
+def source_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bytes_io.from_memory(spark, [b"a", b"", "äb".encode()])
+    return rows.select(F.col("content").cast("string").alias("text"), F.octet_length("content").alias("size"))
+
+
+_CONTENT = "(SELECT coalesce(text, '') AS content FROM documents)"
+
+
+def _written(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The texts of documents, written by the file sink; its path."""
+    path = shared_path(spark, f"sink-{kind}")
+    bytes_io.to_files(_table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("content")), path, kind)
+    return path
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(octet_length(encode(content))) AS BIGINT) AS size, sha256(string_agg(sha256(content), '' ORDER BY sha256(content))) AS digest FROM {_CONTENT}")
+def sink_files_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as JSON lines and read back with their schema."""
+    back = bytes_io.ndjson(spark, _written(spark, sf_dir, "json"), "content string")
+    told = back.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("size"), F.array_join(F.array_sort(F.collect_list(F.sha2("content", 256))), "").alias("all"))
+    return told.select("n", "size", F.sha2("all", 256).alias("digest"))
+
+
+@query("SELECT r_name AS name, r_name || chr(10) AS text FROM region")
+def source_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions written as one text file each, read whole: as bytes with their path, and as text."""
+    path = shared_path(spark, "region-files")
+    r = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_name").alias("value"))
+    r.write.partitionBy("name").text(path)
+    files = bytes_io.from_files(spark, f"{path}/*", "*.txt").select(F.url_decode(F.regexp_extract("path", "name=([^/]*)/", 1)).alias("name"), F.col("content").cast("string").alias("text"))
+    return files.join(bytes_io.from_text_files(spark, f"{path}/*").select(F.col("value").alias("text")), "text", "left_semi")
+
+
+@query("SELECT CAST(p AS INTEGER) AS part, CAST(s AS BIGINT) AS seq, printf('%d-%d', p, s) AS text FROM range(3) a(p), range(4) b(s)")
+def source_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytes_io.from_callback(spark, "larkspur.queries:numbered_items", 3).select("part", "seq", F.col("content").cast("string").alias("text"))
+
+
+def numbered_items(part: int) -> Iterator[bytes]:
+    """What the callback source of :func:`source_callback` yields for a partition."""
+    return (f"{part}-{i}".encode() for i in range(4))
+
+
+@query(f"SELECT CAST(sum(octet_length(encode(content))) AS BIGINT) AS written FROM {_CONTENT}")
+def io_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("content"))
+    return bytes_io.copy(texts, shared_path(spark, "copy"))
+
+
+@query("SELECT n_name AS name FROM nation")
+def sink_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = bytes_io.to_memory(_table(spark, sf_dir, "nation").select(F.col("n_name").cast("binary").alias("content")), limit_bytes=1000)
+    return spark.createDataFrame([(c.decode(),) for c in contents], "name string")
+
+
+@query("SELECT 5 AS parts, sum(length(r_name)) AS size FROM region")
+def sink_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region handed to a callback in the tasks, which counts its bytes."""
+    context = spark.sparkContext
+    parts, size = context.accumulator(0), context.accumulator(0)
+
+    def write(data: bytes) -> None:
+        parts.add(1)
+        size.add(len(data))
+
+    bytes_io.to_callback(_table(spark, sf_dir, "region").select(F.col("r_name").cast("binary").alias("content")), write)
+    return spark.createDataFrame([(parts.value, size.value)], "parts int, size long")
+
+
+# --- streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as a stream of Parquet files."""
+    path = shared_path(spark, "messages")
+    _messages(spark, sf_dir).select("namespace", "queue", "message_id", "user_id").repartition(3).write.parquet(path)
+    return subscribe.message_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+
+
+def _subscribed(spark: SparkSession, stream: DataFrame, states: DataFrame | None, handler: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out, checkpoint = shared_path(spark, "actions"), shared_path(spark, "checkpoint")
+
+    def write(actions: DataFrame, number: int) -> None:
+        actions.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run = subscribe.subscribe(stream, handler, write, checkpoint) if states is None else subscribe.subscribe_with_state(stream, states, handler, write, checkpoint)
+    run.awaitTermination()
+    return spark.read.parquet(out).select("message_id", "action")
+
+
+@query(f"SELECT message_id, CASE WHEN message_id % 11 = 0 THEN 'nack_defer' WHEN message_id % 7 = 0 OR message_id % 5 = 0 THEN 'nack_failure' ELSE 'ack' END AS action FROM {_MESSAGES}")
+def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that fails some messages, leaves some out, and defers some by an action of its own."""
+    own = F.when(F.col("message_id") % 11 == 0, "nack_defer").alias("action")
+    return _subscribed(spark, _stream(spark, sf_dir), None, lambda b: b.where("message_id % 5 <> 0 or message_id % 11 = 0").select("message_id", (F.col("message_id") % 7 != 0).alias("ok"), own))
+
+
+@query(f"SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 'ack' ELSE 'nack_failure' END AS action FROM {_MESSAGES}")
+def stream_subscribe_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that takes the messages with a state bound to them."""
+    states = _messages(spark, sf_dir).where("message_id % 2 = 0").select("namespace", scalars.queue_state_key(F.col("queue"), F.col("message_id").cast("string")).alias("key"), F.lit("{}").alias("doc"))
+    return _subscribed(spark, _stream(spark, sf_dir), states, lambda b: b.select("message_id", F.col("doc").isNotNull().alias("ok")))
+
+
+@query("SELECT 'default' AS namespace, event_type AS queue, event_id % 2 = 0 AS available, CAST(event_id AS VARCHAR) AS head_message_id FROM events WHERE event_id % 3 <> 1")
+def stream_sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server-sent events, of which every third has another name."""
+    e = _table(spark, sf_dir, "events")
+    data = F.to_json(F.struct(F.lit("default").alias("namespace"), F.col("event_type").alias("queue"), (F.col("event_id") % 2 == 0).alias("available"), F.col("event_id").cast("string").alias("head_message_id")))
+    lines = e.select(F.when(F.col("event_id") % 3 == 0, "queue_watch").when(F.col("event_id") % 3 == 1, "ping").alias("event"), data.alias("data"))
+    return watch.sse_events(lines).select("namespace", "queue", "available", "head_message_id")
 
 
 # --- scalar functions
 
 
+@query("SELECT * FROM (VALUES ('/a~1b/~0c', 'a/b|~c', CAST(NULL AS VARCHAR)), ('/~01', '~1', NULL), ('/a/0', 'a|0', NULL), ('a', NULL, 'a path must start with ' || chr(39) || '/' || chr(39)), ('/', NULL, 'mutation path refers to document root'), ('/*', NULL, 'wildcards are not supported in paths: *')) t(pointer, segments, error)")
+def scalar_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def parsed(pointer: str) -> tuple[str, str | None, str | None]:
+        try:
+            return pointer, "|".join(pointers.parse(pointer)), None
+        except pointers.PointerError as e:
+            return pointer, None, str(e)
+
+    return spark.createDataFrame([parsed(p) for p in ("/a~1b/~0c", "/~01", "/a/0", "a", "/", "/*")], "pointer string, segments string, error string")
+
+
+@query("SELECT doc_id, text IS NOT NULL AS clean, text FROM documents")
+def scalar_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bytes: all are clean, and come back as they are."""
+    data = F.col("text").cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(scalars.is_clean_text(data), F.lit(False)).alias("clean"), scalars.text_or_base64(data).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '9223372036854775807' WHEN 1 THEN '-9223372036854775808' END AS i64, CASE event_id % 4 WHEN 0 THEN '9223372036854775807' WHEN 2 THEN '18446744073709551615' END AS u64 FROM events")
+def scalar_number_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*(F.lit(x) for x in ("9223372036854775807", "-9223372036854775808", "18446744073709551615", "18446744073709551616")))
+    text = F.get(texts, (F.col("event_id") % 4).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", scalars.int64(text).cast("string").alias("i64"), scalars.uint64(text).cast("string").alias("u64"))
+
+
 @query("SELECT doc_id, base64(encode(text)) AS b64 FROM documents")
 def scalar_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", scalars.base64(F.col("text").cast("binary")).alias("b64"))
@@ -539,6 +827,18 @@ def scalar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- consumers and catalog
 
 
+@query(
+    """WITH RECURSIVE d(policy, k, delay, base, factor, cap) AS (SELECT p, 0, base, base, factor, cap FROM (VALUES (1, 250, 1.02::DOUBLE, 300000), (2, 250, 1.0::DOUBLE, 300000), (3, 100, 1.5::DOUBLE, 2000), (4, 5000, 2.0::DOUBLE, 1000)) t(p, base, factor, cap)
+    UNION ALL SELECT policy, k + 1, CASE WHEN delay * factor <= delay OR delay * factor >= cap THEN cap ELSE CAST(floor(delay * factor) AS INTEGER) END, base, factor, cap FROM d WHERE k < 498)
+    SELECT policy, CAST(k + 2 AS BIGINT) AS failures, CAST(least(delay, cap) AS BIGINT) AS delay_ms FROM d UNION ALL SELECT p, 1, 0 FROM range(1, 5) t(p)"""
+)
+def consumer_backoff_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slow growth, none, a low cap, and a base above the cap, for 500 failures; the first is retried at once."""
+    policies = [(1, 250, 1.02, 300_000), (2, 250, 1.0, 300_000), (3, 100, 1.5, 2_000), (4, 5_000, 2.0, 1_000)]
+    n = spark.range(1, 501)
+    return reduce(DataFrame.union, [n.select(F.lit(p).alias("policy"), F.col("id").alias("failures"), backoff.restart_delay_ms(F.col("id"), 1, base, factor, cap).alias("delay_ms")) for p, base, factor, cap in policies])
+
+
 @query("SELECT CAST(n AS BIGINT) AS failures, CASE WHEN n <= 3 THEN 0 ELSE CAST(least(250 * pow(2, n - 4), 300000) AS BIGINT) END AS delay_ms FROM range(1, 40) t(n)")
 def consumer_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 40).select(F.col("id").alias("failures"), backoff.restart_delay_ms(F.col("id")).alias("delay_ms"))
@@ -599,6 +899,16 @@ def tc_cluster_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.cluster(events).select(F.array_join("endpoints", ",").alias("endpoints"))
 
 
+@query("SELECT printf('node-%d', user_id) AS leader_id, event_id AS term, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS expires_at FROM events WHERE event_id % 2 = 1 AND event_id = (SELECT max(event_id) FROM events)")
+def tc_leader_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that were renewed for a minute; those with even numbers were then released."""
+    e = _table(spark, sf_dir, "events")
+    terms = e.select(F.format_string("node-%d", "user_id").alias("leader_id"), F.col("event_id").alias("term"), _seconds().alias("expires_at"), F.lit("acquire").alias("event"), F.lit(1).alias("seq"))
+    renewed = terms.withColumn("expires_at", F.col("expires_at") + 60).withColumn("event", F.lit("renew")).withColumn("seq", F.lit(2))
+    released = terms.where("term % 2 = 0").withColumn("event", F.lit("release")).withColumn("seq", F.lit(3))
+    return catalog.leader(terms.union(renewed).union(released))
+
+
 @query("SELECT printf('node-%d', arg_max(user_id, event_id)) AS leader_id, max(event_id) AS term FROM events")
 def tc_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
@@ -613,10 +923,9 @@ def tc_lease_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.leader_decisions(asked, NOW).select("event_id", F.col("granted").alias("granted"))
 
 
-@query("SELECT o_orderkey AS txn_id, 'commit' AS state, l_suppkey AS backend_hash FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey AS txn_id, 'commit' AS state, l_suppkey AS backend_hash FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey")
 def txn_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    grouped = lines.groupBy(F.col("l_orderkey").alias("txn_id")).agg(F.collect_set(F.struct(F.col("l_suppkey").alias("backend_hash"))).alias("participants"))
+    grouped = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txn_id")).agg(F.collect_set(F.struct(F.col("l_suppkey").alias("backend_hash"))).alias("participants"))
     return catalog.participants(grouped.withColumn("state", F.lit("commit")))
 
 
@@ -630,6 +939,12 @@ def txn_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.transactions(e)
 
 
+@query("SELECT 'FRANCE' AS namespace, 'scan' AS preferred_engine, n_regionkey AS region FROM nation WHERE n_name = 'FRANCE'")
+def namespace_config_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("namespace"), F.lit("scan").alias("preferred_engine"), F.col("n_regionkey").alias("region"))
+    return catalog.namespace_config(configs, "FRANCE")
+
+
 @query("SELECT n_name AS namespace, CASE WHEN n_nationkey % 2 = 0 THEN 'index' ELSE 'scan' END AS preferred_engine, 'scan' AS fallback_engine FROM nation")
 def namespace_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")

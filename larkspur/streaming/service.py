@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -26,14 +27,12 @@ class Policy:
     cap_ms: int = backoff.CAP_MS
 
     def delay_ms(self, failures: int) -> int:
-        if failures <= self.immediate:
+        if failures <= max(self.immediate, 0):
             return 0
-        delay = self.base_ms
-        for _ in range(failures - self.immediate - 1):
-            delay = min(int(delay * self.factor), self.cap_ms)
-            if delay == self.cap_ms:
-                break
-        return min(delay, self.cap_ms)
+        delay = 0
+        for delay in islice(backoff.delays(self.base_ms, self.factor, self.cap_ms), failures - max(self.immediate, 0)):
+            pass
+        return delay
 
 
 @dataclass

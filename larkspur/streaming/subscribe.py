@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from larkspur.functions.scalars import queue_state_key
+from larkspur.operators.consumers import auto_action
 
 #: Writes one action table of a micro-batch: (actions, batch number).
 ActionSink = Callable[[DataFrame, int], None]
@@ -35,7 +36,8 @@ def subscribe(stream: DataFrame, handler: Callable[[DataFrame], DataFrame], acti
         own = F.col("action") if "action" in told.columns else F.lit(None).cast("string")
         result = told.select("message_id", "ok", own.alias("_own"))
         done = batch.select("message_id").join(result, "message_id", "left")
-        action = F.coalesce("_own", F.when(F.coalesce("ok", F.lit(False)), "ack").otherwise("nack_failure"))
+        automatic = auto_action(F.coalesce("ok", F.lit(False)), F.col("_own").isNotNull())
+        action = F.when(automatic == "none", F.col("_own")).otherwise(automatic)
         actions(done.select("message_id", action.alias("action"), F.lit(number).cast("long").alias("batch")), number)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

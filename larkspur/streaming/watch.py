@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 QUEUE = ("namespace", "queue")
+#: Sequence numbers whose observations are sorted together.
+BLOCK = 1 << 16
 
 
 def changes(observations: DataFrame) -> DataFrame:
-    """Observations ``(namespace, queue, seq, available, head_message_id)`` that differ from the one before; the first always does."""
-    order = Window.partitionBy(*QUEUE).orderBy("seq")
+    """Observations ``(namespace, queue, seq, available, head_message_id)`` that differ from the one before; the first always does.
+
+    A queue may have any number of rows: each is compared within its block of
+    ``BLOCK`` numbers, and the first of a block with the last of the block before.
+    """
     now = F.struct("available", "head_message_id")
-    rows = observations.withColumn("_before", F.lag(now).over(order)).withColumn("_first", F.row_number().over(order) == 1)
-    return rows.where(F.col("_first") | ~now.eqNullSafe(F.col("_before"))).drop("_before", "_first")
+    rows = observations.withColumn("_block", F.coalesce(F.floor(F.col("seq") / BLOCK), F.lit(-(1 << 60))))
+    blocks = rows.groupBy(*QUEUE, "_block").agg(F.max_by(now, "seq").alias("_end"))
+    carried = blocks.select(*QUEUE, "_block", F.lag("_end").over(Window.partitionBy(*QUEUE).orderBy("_block")).alias("_carried"))
+    order = Window.partitionBy(*QUEUE, "_block").orderBy("seq")
+    both = rows.withColumn("_before", F.lag(now).over(order)).join(carried, [*QUEUE, "_block"])
+    before = F.coalesce("_before", "_carried")
+    return both.where(before.isNull() | ~now.eqNullSafe(before)).drop("_before", "_carried", "_block")
 
 
 def watch(observations: DataFrame, id_type: str = "string") -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import backoff, pointers, scalars, times
+from larkspur.streaming import service
 
 
 def values(spark, column, rows, schema):
@@ -42,5 +43,10 @@ def test_scalars(spark):
 def test_backoff(spark):
     assert [r[0] for r in spark.range(1, 9).select(backoff.restart_delay_ms(F.col("id"))).collect()] == [0, 0, 0, 250, 500, 1000, 2000, 4000]
     assert values(spark, backoff.jittered(F.col("d"), F.lit(100), F.col("u")), [(250, 0.0), (250, 1.0), (50, 0.0), (300000, 1.0)], "d long, u double") == [150, 350, 0, 300000]
+    assert values(spark, backoff.jittered(F.col("d"), F.lit(100), F.col("u")), [(0, 1.0), (50, 1.0)], "d long, u double") == [0, 100]
+    for immediate, base, factor, cap in ((3, 250, 2.0, 300_000), (0, 250, 1.02, 300_000), (1, 250, 1.0, 9_000), (2, 250, 1.001, 9_000), (-1, 5_000, 3.0, 1_000)):
+        policy = service.Policy(0, immediate, base, factor, cap)
+        told = spark.range(1, 600).select(backoff.restart_delay_ms(F.col("id"), immediate, base, factor, cap)).collect()
+        assert [r[0] for r in told] == [policy.delay_ms(n) for n in range(1, 600)]
     assert values(spark, backoff.is_fatal(F.col("c"), F.col("h")), [("invalid", None), (None, 404), (None, 429), (None, 503), ("transport", None)], "c string, h int") == [True, True, False, False, False]
     assert values(spark, backoff.extend_after_ms(F.col("v")), [(0,), (10,), (100,)], "v long") == [250, 5000, 30000]

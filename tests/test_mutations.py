@@ -103,3 +103,15 @@ def test_set_then_remove_restores_the_document(doc, key):
     assert made == {**doc, key: "v"}
     gone = json.loads(mutate_text(json.dumps(made), [Step("remove", (key,))]))
     assert gone == {k: v for k, v in doc.items() if k != key}
+
+
+def test_odd_documents_and_paths():
+    plan = Parser().plan(["/k++"])
+    assert mutate_text('{"a":"\\ud800x\\ud83d\\ude00"}', plan) == '{"a":"\\ud800x😀","k":1}'
+    for doc in ('{"a":1,"a":2}', "[", '{"k":NaN}'):
+        with pytest.raises(MutationError):
+            mutate_text(doc, plan)
+    assert mutate_text('{"a":{}}', Parser().plan(["/a/²=x"])) == '{"a":{"²":"x"}}'
+    with pytest.raises(MutationError):
+        mutate_text('{"a":[1]}', Parser().plan(["/a/²=x"]))
+    assert [s.path for s in Parser().plan(['/a{/b=x,/c="y,/d=z}'])] == [("a", "b"), ("a", "c")]

@@ -25,12 +25,36 @@ def test_public_and_private_views(spark):
 
 
 def test_write_conditions(spark):
-    writes = spark.createDataFrame([("n", "a", 2, None, "x"), ("n", "a", 1, None, "x"), ("n", "a", None, "e2", "x"), ("n", "a", None, "no", "x"), ("n", "a", None, "", "x"), ("n", "new", 0, None, "x"), ("n", "new", None, "e", "x")], "namespace string, key string, if_version long, if_state_etag string, doc string")
-    assert [r.conflict for r in state.check_writes(versions(spark), writes.coalesce(1)).sort("key", F.col("if_version").desc_nulls_last(), "if_state_etag").collect()] == [False, True, False, False, True, False, True]
-    made = state.update(versions(spark), writes.limit(1)).first()
+    cases = [("a", 2, None, False), ("a", 1, None, True), ("a", None, "e2", False), ("a", None, "no", True), ("a", None, "", False), ("new", 0, None, False), ("new", None, "e", True), ("b", 1, None, False), ("b", 0, None, True), ("b", None, "e", True)]
+    for key, version, tag, conflict in cases:
+        write = spark.createDataFrame([("n", key, version, tag, "x")], WRITES)
+        assert [r.conflict for r in state.check_writes(versions(spark), write).collect()] == [conflict], (key, version, tag)
+    made = state.update(versions(spark), spark.createDataFrame([("n", "a", 2, None, "x")], WRITES)).first()
     assert (made.version, made.bytes) == (3, 1)
 
 
+def test_one_write_of_a_batch_is_made_for_each_key(spark):
+    writes = spark.createDataFrame([("n", "a", 1, None, "a"), ("n", "a", None, None, "c"), ("n", "a", 2, None, "b"), ("n", "a", 2, None, "b"), ("n", "b", None, None, "z")], WRITES)
+    told = sorted((r.key, r.doc, r.conflict) for r in state.check_writes(versions(spark), writes).collect())
+    assert told == [("a", "a", True), ("a", "b", False), ("a", "b", True), ("a", "c", True), ("b", "z", False)]
+    made = state.update(versions(spark), writes).withColumn("committed", F.lit(True)).withColumn("removed", F.lit(False))
+    assert sorted((r.key, r.version, r.doc) for r in made.collect()) == [("a", 3, "b"), ("b", 2, "z")]
+    both = versions(spark).unionByName(made, allowMissingColumns=True)
+    assert sorted((r.key, r.doc) for r in state.latest(both).collect()) == [("a", "b"), ("b", "z")]
+    assert {r.key: r.removed for r in state.remove(versions(spark), writes.where("doc in ('b', 'z')")).collect()} == {"a": True, "b": False}
+
+
+def test_a_released_lease_frees_its_key(spark):
+    held = spark.createDataFrame([("n", "b", "l", "o", 4, 200), ("n", "c", "m", "o", 1, 200)], LEASES)
+    asked = spark.createDataFrame([("n", "b", "q", 10, 3), ("n", "c", "q", 10, 4)], "namespace string, key string, owner string, ttl_seconds int, request_id long")
+    after = leases.release_leases(held, held.where("key = 'b'").select("namespace", "key", "lease_id"), 100)
+    assert [(r.key, r.fencing_token) for r in leases.acquire(after, asked, 100).collect()] == [("b", 5)]
+    writes = held.select("namespace", "key", "lease_id", "fencing_token")
+    assert [r.key for r in leases.fenced_writes(writes, after, 100).collect()] == ["c"]
+    assert leases.fenced_writes(writes, after, 200).isEmpty()
+
+
+WRITES = "namespace string, key string, if_version long, if_state_etag string, doc string"
 LEASES = "namespace string, key string, lease_id string, owner string, fencing_token long, expires_at_unix long"
 
 
@@ -39,6 +63,7 @@ def test_update_under_leases_rolls_back_on_errors(spark):
     asked = spark.createDataFrame([("n", "a", "p", 10, 2), ("n", "a", "q", 10, 1), ("n", "b", "q", 10, 3)], "namespace string, key string, owner string, ttl_seconds int, request_id long")
     good = leases.acquire_for_update(held, versions(spark), asked, 100, lambda seen: seen.select("namespace", "key", F.lit("{}").alias("doc")))
     assert [(r.key, r.owner, r.fencing_token, r.expires_at_unix) for r in good.granted.collect()] == [("a", "q", 1, 110)]
+    assert [r.expires_at_unix for r in good.released.collect()] == [100]
     assert [(r.key, r.version) for r in good.staged.collect()] == [("a", 3)] and not good.releases.first().rollback
 
     def fail(_seen):

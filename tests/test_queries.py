@@ -72,11 +72,28 @@ def test_key_stream_hands_over_keys_and_stops_on_errors(spark, data):
 def test_every_lease_is_handed_over_as_a_write(spark, data, monkeypatch):
     handed = []
     real = queries.leases.fenced_writes
-    monkeypatch.setattr(queries.leases, "fenced_writes", lambda writes, rows: handed.append((writes, rows)) or real(writes, rows))
+    monkeypatch.setattr(queries.leases, "fenced_writes", lambda writes, rows, now: handed.append((writes, rows)) or real(writes, rows, now))
     kept = queries.QUERIES["lease_fenced_writes"](spark, data).count()
     writes, rows = handed[0]
     current = queries.leases.current(rows).count()
     assert writes.select("key", "lease_id").exceptAll(rows.select("key", "lease_id")).isEmpty()
     assert writes.count() == rows.count() and 0 < kept < current
     # writes of the others were refused for their token alone
-    assert real(rows, rows).count() == current
+    assert real(rows, rows, 0).count() == current
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "boolean"])
+def test_index_engine_gives_the_rows_of_a_scan(spark, kind):
+    """Every leaf, over values of every type, with an index column of every type."""
+    from larkspur.operators import query as q
+
+    values = ["1", "1.0", "2.7", "3", '"a"', '"1"', "true", "null", "-0.0", "0", "9223372036854775807", "9223372036854775808", "1e3", '""', "[1]", '{"x":1}']
+    rows = [("default", f"{i:02d}", f'{{"k":{v}}}') for i, v in enumerate(values)] + [("default", "98", "{}"), ("default", "99", "no json")]
+    docs = spark.createDataFrame(rows, "namespace string, key string, doc string").coalesce(1)
+    indexed, mapping = q.build_index(docs, [("/k", kind)])
+    leaves = [{"eq": {"field": "/k", "value": v}} for v in (1, 1.0, 2.7, 0, 0.0, 3.0, "1", "a", "", True, False, None, 9223372036854775807, 9223372036854775808, 1000)]
+    leaves += [{"range": {"field": "/k", **b}} for b in ({"gt": 1.5}, {"gte": 1}, {"lt": 3}, {"lte": 2.7, "gt": -1})] + [{"prefix": {"field": "/k", "value": p}} for p in ("", "a")]
+    leaves += [{"not": leaf} for leaf in leaves] + [{"in": {"field": "/k", "values": [1, "a", 2.7]}}, {"exists": {"field": "/k"}}]
+    both = {"scan": docs, "index": indexed}
+    found = {e: [sorted(r.key for r in q.candidates(d, q.Query(leaf, engine=e), mapping).collect()) for leaf in leaves] for e, d in both.items()}
+    assert found["scan"] == found["index"] and found["scan"][0] == ["00"]
