@@ -95,26 +95,52 @@ def test_chat_digests_equal_brute_force(spark):
 
 def test_windows_keep_to_budget_history_and_system(spark):
     rows = conversations()
-    made = chat_format.windows(spark.createDataFrame(rows, TURNS), budget=256, history=48, system_budget=16).collect()
-    first = {c: x for c, t, r, x, _ in rows if t == 0 and r == "system"}
+    rng = random.Random(9)
+    for c in range(100, 140):  # system turns of any length, at any place, over and under the budget
+        size, at = rng.choice([0, 1, 10, 94, 200, 250, 255, 256, 300]), rng.choice([0, 0, 3, None])
+        for t in range(rng.choice([1, 5, 40])):
+            wide = rng.choice([5, 5, 20, 60, 100, 160, 255, 256, 400])
+            rows.append((c, t, ("user", "assistant")[t % 2], "u" * wide, "p"))
+        rows.append((c, at, "system", "s" * size, "p"))
+        if c % 3 == 0:
+            rows.append((c, 4, "system", "later", "p"))
+    made = chat_format.windows(spark.createDataFrame(rows, TURNS), budget=256, history=48, tokens=F.char_length("text").cast("long")).collect()
+    assert len({(w.conv_id, w.window) for w in made}) == len(made)
+    turns = {}
+    for c, t, role, text, _ in rows:
+        turns.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
     seen = set()
     for w in made:
+        whole = sorted(turns[w.conv_id])
+        system = next((i for i, x in enumerate(whole) if x[1] == "system"), None)
+        used = len(whole[system][2]) if system is not None else 0
         own = [s.position for s in w.segments if s.owned]
         assert own == list(range(own[0], own[0] + len(own)))
         assert seen.isdisjoint((w.conv_id, p) for p in own)
         seen.update((w.conv_id, p) for p in own)
         assert not any(s.target for s in w.segments if not s.owned or s.role != "assistant")
-        if w.conv_id in first:
-            assert w.segments[0].position == 0 and w.segments[0].role == "system"
-        history = [s.position for s in w.segments if not s.owned and s.position > 0]
+        assert system is None or [s.position for s in w.segments].count(system) == 1
+        history = [s.position for s in w.segments if not s.owned and s.position != system]
         assert not history or history == list(range(own[0] - len(history), own[0]))
-        body = w.formatted
-        for control in ("</s>", "[INST]", "[/INST]"):
-            inside = "".join(body[s.begin : s.begin + s.length] for s in w.segments)
-            assert control not in inside
-    for w in made:
-        if len([s for s in w.segments if s.owned]) > 1 and len(first.get(w.conv_id, "")) < 40:
-            assert w.n_tokens <= 256
+        assert sum(len(whole[p][2]) for p in history) <= 48
+        assert w.n_tokens == sum(len(whole[s.position][2]) for s in w.segments)
+        over = [p for p in own if p != system and len(whole[p][2]) + used > 256]
+        assert w.n_tokens <= 256 or used > 256 or (over == own and not history), (w.n_tokens, used, own)
+        for s in w.segments:
+            body = w.formatted[s.begin : s.begin + s.length]
+            assert not any(control in body for control in ("</s>", "[INST]", "[/INST]"))
+            assert re.sub(r"([<\[\\])\\", r"\1", body) == whole[s.position][2]
+    assert len(seen) == len(rows)
+
+
+def test_one_conversation_windows_do_not_depend_on_others_or_formatted_chars(spark):
+    rows = conversations()
+    made = chat_format.windows(spark.createDataFrame(rows, TURNS))
+    got = {r.conv_id: r.formatted_chars for r in chat_format.digests(made).collect()}
+    want = {}
+    for w in made.collect():
+        want[w.conv_id] = want.get(w.conv_id, 0) + len(w.formatted)
+    assert got == want
 
 
 def test_escape_is_reversible(spark):
