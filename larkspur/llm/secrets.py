@@ -10,12 +10,13 @@ A scan of each text finds spans of these kinds (code points, end exclusive):
 
 Parts have roles: *identifier* (access, account), *secret* (assign, hex,
 random), *endpoint*. A weak part is kept when, in its scope (a stretch of text
-between blank lines), a part of another role begins at most ``REACH`` code
-points away. That is an interval join, and only its existence is asked for: for
-each document, scope and bucket of ``REACH`` code points the first and last
-begin of each role are kept, and every weak part looks at its own bucket and
-the two beside it. So a scope with many parts costs its number of parts, never
-its pairs.
+between blank lines), there is a part of another role with at most ``REACH``
+code points between the end of one and the begin of the other. That is an
+interval join, and only its existence is asked for: a part is put into every
+bucket of ``REACH`` code points that it covers; for each document, scope and
+bucket the first begin and last end of each role are kept, and every weak part
+looks at its own buckets and the two beside them. So a scope with many parts
+costs the buckets of its parts, never its pairs.
 
 Defined cases: null counts as empty; long texts are scanned whole; a document
 is its id and text, so repeated rows get the same spans, and rows that share
@@ -26,7 +27,9 @@ empty table gives no rows; working columns carry the prefix ``_se_``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,7 +43,7 @@ from larkspur.shared import materialize
 KINDS = ("assign", "access", "hex", "account", "random", "endpoint")
 STRONG = ("assign", "access", "hex")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "account": "identifier", "random": "secret", "endpoint": "endpoint"}
-#: Code points between the beginnings of parts that belong together, at most.
+#: Code points between parts that belong together, at most.
 REACH = 400
 
 _FLAGS = re.ASCII | re.IGNORECASE
@@ -79,7 +82,9 @@ def weak_spans(text: str) -> list[Span]:
 def scan(text: str) -> list[dict]:
     """All spans of a text with the number of their scope."""
     strong = base_spans(text)
-    weak = [w for w in weak_spans(text) if not any(a <= w[1] and w[2] <= b for _, a, b in strong)]
+    begins, reached = [a for _, a, _ in strong], list(accumulate((b for _, _, b in strong), max))
+    inside = lambda w: (i := bisect_right(begins, w[1])) > 0 and reached[i - 1] >= w[2]
+    weak = [w for w in weak_spans(text) if not inside(w)]
     if not strong and not weak:
         return []
     scope, cuts, out = 0, [m.start() for m in _BLANK.finditer(text)] if weak else [], []
@@ -97,8 +102,9 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 
 def _key(id_value: Column, text: Column) -> Column:
-    """A document: its id and its text."""
-    return F.sha2(F.concat(F.coalesce(id_value.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))), 256)
+    """A document: its id and its text; the length of the id keeps them apart."""
+    name = F.coalesce(F.concat(F.lit("="), id_value.cast("string")), F.lit("null"))
+    return F.sha2(F.concat(F.char_length(name).cast("string"), name, F.coalesce(text, F.lit(""))), 256)
 
 
 def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
@@ -108,8 +114,9 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
     """
     roles = sorted(set(ROLE.values()))
     role = F.create_map(*(F.lit(x) for pair in ROLE.items() for x in pair))[F.col("kind")]
-    parts = spans.withColumn("_se_role", role).withColumn("_se_bucket", F.floor(F.col("start") / reach))
-    ends = parts.groupBy("_se_key", "scope", "_se_bucket", "_se_role").agg(F.min("start").alias("_se_first"), F.max("start").alias("_se_last"))
+    covered = F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach))
+    parts = spans.withColumn("_se_role", role).withColumn("_se_bucket", F.explode(covered))
+    ends = parts.groupBy("_se_key", "scope", "_se_bucket", "_se_role").agg(F.min("start").alias("_se_first"), F.max("end").alias("_se_last"))
     around = ends.withColumn("_se_side", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_se_bucket", F.col("_se_bucket") + F.col("_se_side"))
     seen = []
     for r in roles:
@@ -121,15 +128,15 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
         ]
     near = around.groupBy("_se_key", "scope", "_se_bucket").agg(*seen)
     weak = parts.where(~F.col("kind").isin(*STRONG))
-    begin, holds = F.col("start"), F.lit(False)
+    holds = F.lit(False)
     for r in roles:
         there = (
             F.coalesce(F.col(f"_se_{r}_here"), F.lit(False))
-            | F.coalesce(begin - F.col(f"_se_{r}_before") <= reach, F.lit(False))
-            | F.coalesce(F.col(f"_se_{r}_after") - begin <= reach, F.lit(False))
+            | F.coalesce(F.col("start") - F.col(f"_se_{r}_before") <= reach, F.lit(False))
+            | F.coalesce(F.col(f"_se_{r}_after") - F.col("end") <= reach, F.lit(False))
         )
         holds = holds | ((F.col("_se_role") != r) & there)
-    return weak.join(near, ["_se_key", "scope", "_se_bucket"]).where(holds).select("_se_key", "scope", "kind", "start", "end")
+    return weak.join(near, ["_se_key", "scope", "_se_bucket"]).where(holds).select("_se_key", "scope", "kind", "start", "end").distinct()
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:

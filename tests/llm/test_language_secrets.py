@@ -1,6 +1,13 @@
 import hashlib
+import math
+import random
 import re
+import unicodedata
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from larkspur.llm import language_id, secrets
 from larkspur.llm.queries import queries
@@ -62,6 +69,8 @@ WEAK = [
     (7, "see https://example.org/x only"),
     (8, None),
     (9, " ".join(f"user=u{i:04d} {RANDOM}" for i in range(300))),
+    (10, f"token={'j' * 600}\nhttps://db.example.org/x"),
+    (11, f"https://files.example.org/{'p' * 900} {'.' * 390} {RANDOM} {'.' * 500} user=bobby"),
 ]
 
 
@@ -70,7 +79,7 @@ def near(text):
     spans = secrets.scan(text)
     keep = []
     for s in spans:
-        others = [o for o in spans if o["scope"] == s["scope"] and secrets.ROLE[o["kind"]] != secrets.ROLE[s["kind"]] and abs(o["start"] - s["start"]) <= secrets.REACH]
+        others = [o for o in spans if o["scope"] == s["scope"] and secrets.ROLE[o["kind"]] != secrets.ROLE[s["kind"]] and max(o["start"] - s["end"], s["start"] - o["end"]) <= secrets.REACH]
         if s["kind"] in secrets.STRONG or others:
             keep.append((s["kind"], s["start"], s["end"]))
     return keep
@@ -84,6 +93,90 @@ def test_weak_parts_need_a_complement(spark):
     assert [k for k, _, _ in got[6]] == ["endpoint", "assign"] and len(got[9]) == 600
 
 
+def test_linking_equals_the_quadratic_definition(spark):
+    """Spans of all lengths at all distances, several scopes and documents, with a small reach."""
+    rng, rows, want = random.Random(11), [], set()
+    for key in "abcdef":
+        own = []
+        for _ in range(60):
+            start = rng.randrange(900)
+            own.append((key, rng.randrange(2), rng.choice(secrets.KINDS), start, start + rng.choice([1, 3, 8, 20, 130])))
+        rows += own
+        for k, scope, kind, a, b in own:
+            near_by = any(o[1] == scope and secrets.ROLE[o[2]] != secrets.ROLE[kind] and max(o[3] - b, a - o[4]) <= 8 for o in own)
+            if kind not in secrets.STRONG and near_by:
+                want.add((k, scope, kind, a, b))
+    spans = spark.createDataFrame(rows, "_se_key string, scope int, kind string, start int, end int")
+    assert sorted(tuple(r) for r in secrets.linked(spans, 8).collect()) == sorted(want)
+
+
+def test_ids_that_hold_colons_keep_documents_apart(spark):
+    docs = spark.createDataFrame([("a:b", "c user=alice01 password=hunter22"), ("a", "b:c user=alice01 password=hunter22")], "doc_id string, text string")
+    got = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.find_spans(docs).collect()}
+    assert got == {"a:b": [("account", 2), ("assign", 15)], "a": [("account", 4), ("assign", 17)]}
+
+
+def brute_language(rows):
+    """Naive Bayes by dictionaries: id -> (language, posterior)."""
+    mask, counts, docs = (1 << 64) - 1, {}, {}
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def grams(text):
+        points = [ord(c) if unicodedata.category(c)[0] == "L" else 32 for c in f"  {text.lower()}  "]
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                window = points[i : i + n]
+                if set(window) != {32}:
+                    value = 0
+                    for c in window:
+                        value = (value * 0x9E3779B1 + c) & mask
+                    yield mix((value * 4 + n) & mask) >> 48
+
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            docs[lang] = docs.get(lang, 0) + 1
+            counts.setdefault(lang, Counter()).update(grams(text or ""))
+    totals = {x: sum(c.values()) + 0.1 * 65536 for x, c in counts.items()}
+    out = {}
+    for i, text, _ in rows:
+        seen = list(grams(text or ""))
+        if not seen or not docs:
+            out[i] = ("und", 0.0)
+            continue
+        log = {x: math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][g] + 0.1) / totals[x]) for g in seen) for x in sorted(docs)}
+        best = max(log, key=lambda x: log[x])
+        out[i] = (best, 1 / sum(math.exp(v - log[best]) for v in log.values()))
+    return out
+
+
+def test_predictions_equal_naive_bayes_by_dictionaries(spark, documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.select("doc_id", "text", "lang").collect()]
+    rows = sorted(rows)[:60] + [(10**6 + k, t, "en") for k, t in enumerate(["a", "é", "xx yy", "12 !", "", None, "the und", "ΣΑΣ ΟΔΟΣ"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute_language(rows)
+    for r in language_id.identify(docs).collect():
+        lang, score = want[r.doc_id]
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3, (r, want[r.doc_id])
+
+
+def test_long_texts_are_cut_into_stretches_without_a_difference():
+    text = "Ωμ 1a, b..Ça " * 40
+    whole = language_id.features([f"  {text.lower()}  "], [len(text) + 4])[0]
+    for limit in (1, 2, 3, 7, 100):
+        parts = [language_id.features(p, b)[0] for _, p, b in language_id.stretches([text, None, ""], limit)]
+        assert sorted(np.concatenate(parts).tolist()) == sorted(whole.tolist())
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.range(language_id.LANGUAGES + 1).selectExpr("id as doc_id", "'a' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        language_id.learn(docs)
+
+
 def test_redaction_takes_effect_and_spares_clean_rows(spark, odd, empty):
     docs = spark.createDataFrame([(1, "a password=hunter22 b", 5), (1, "a password=hunter22 b", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     rows = sorted(((r.doc_id, r.text, r.n_chars) for r in secrets.redact(docs).collect()), key=repr)
