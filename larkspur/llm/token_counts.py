@@ -13,11 +13,15 @@ running matter. A state holds, for each such place, the node in the vocabulary
 trie, the last token before it and its count relative to now. States and
 transitions are made when first met and kept up to a bound, then begun anew.
 
-Long texts are cut into chunks. A chunk's *state map* takes an entry state to
-an exit state and a count: up to the first pre-token boundary it has to run
-from the entry state, all behind that is fixed. Maps compose associatively,
-and :func:`prefix_scan` composes the maps of a text in a logarithmic number of
-rounds.
+All texts are cut into chunks. A chunk's *state map* takes an entry state to an
+exit state and a count. What lies before the first pre-token boundary of the
+chunk has to be run from the entry state; all behind that is fixed. Maps are
+tables over the entry states that occur: a chunk without a boundary starts with
+the state that running its last few hundred bytes before it suggests, and runs
+again only for an entry state that is not in its table. Maps compose
+associatively: :func:`combine` merges neighbours pair by pair, the up-sweep of
+a prefix scan, and keeps the total alone. No bytes are copied, so time and
+memory are linear even in a text that is one pre-token.
 
 Defined cases: null counts as empty; empty texts have 0 tokens; texts of any
 length are counted whole; repeated rows are counted alike; an empty table
@@ -27,9 +31,7 @@ gives no rows; extra columns with any names are kept or dropped by the caller.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Any
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.pretokens import boundaries, code_points, pieces
+from larkspur.llm.pretokens import boundaries, code_points
 from larkspur.llm.text_arrays import slices
 
 #: Transitions, and counts of pre-tokens, that one Python worker keeps at most.
@@ -46,6 +48,10 @@ KEPT = 700_000
 CHUNK = 1 << 16
 #: Characters on each side of a position that decide whether a pre-token starts there.
 MARGIN = 4
+#: Code points before a chunk without a boundary that suggest its entry state.
+WARM = 512
+#: Code points of the longest pre-token whose count is kept.
+LONGEST_KEPT = 100
 
 
 def byte_symbols() -> dict[str, int]:
@@ -98,7 +104,7 @@ class ByteMerges:
 class CountTransducer:
     """Deterministic transducer over bytes whose transitions carry token counts."""
 
-    START = 0
+    START: tuple = ((0, None, 0),)
 
     def __init__(self, merges: ByteMerges, kept: int = KEPT) -> None:
         self.merges, self.kept = merges, kept
@@ -118,8 +124,8 @@ class CountTransducer:
 
     def clear(self) -> None:
         # a state: places from which an entry can still run, as (trie node, token before it, count there minus count now)
-        self.states: list[tuple] = [((0, None, 0),)]
-        self.number = {self.states[0]: 0}
+        self.states: list[tuple] = [self.START]
+        self.number = {self.START: 0}
         self.moves: dict[int, tuple[int, int]] = {}
         self.words: dict[str, int] = {}
 
@@ -150,89 +156,115 @@ class CountTransducer:
         self.moves[state << 8 | byte] = number, delta
         return number, delta
 
-    def run(self, state: int, data: bytes) -> tuple[int, int]:
+    def run(self, state: tuple, data: bytes) -> tuple[tuple, int]:
         """The state after ``data`` and the change of the token count."""
+        if len(self.moves) > self.kept or len(self.words) > self.kept:
+            self.clear()  # states are told apart by what they hold, so nobody keeps their numbers
         total, moves = 0, self.moves
+        now = self.number.setdefault(state, len(self.states))
+        if now == len(self.states):
+            self.states.append(state)
         for byte in data:
-            found = moves.get(state << 8 | byte)
-            state, delta = found if found is not None else self._move(state, byte)
+            found = moves.get(now << 8 | byte)
+            now, delta = found if found is not None else self._move(now, byte)
             total += delta
-        return state, total
+        return self.states[now], total
 
     def count(self, piece: str) -> int:
         """Tokens of one whole pre-token."""
         known = self.words.get(piece)
         if known is None:
-            known = self.words[piece] = self.run(self.START, piece.encode("utf-8", "surrogatepass"))[1]
+            known = self.run(self.START, piece.encode("utf-8", "surrogatepass"))[1]
+            if len(piece) <= LONGEST_KEPT:
+                self.words[piece] = known
         return known
 
-    def trim(self) -> None:
-        """Begin anew once the bound is reached; only between texts, as states lose their numbers."""
-        if len(self.moves) > self.kept or len(self.words) > self.kept:
-            self.clear()
-
 
-@dataclass(frozen=True)
 class StateMap:
-    """What a chunk does to an entry state: run ``head``, and behind a boundary reach ``exit``.
+    """What a stretch of text does to an entry state: a table from entry states to exit state and count.
 
-    ``exit`` is None where the chunk has no boundary; then ``head`` is all of it.
+    Of a chunk: ``head`` is run from the entry state, ``fixed`` (exit state and
+    count) is what follows behind the chunk's first boundary, None where it has none.
     """
 
-    head: bytes
-    body: int = 0
-    exit: tuple[int, int] | None = None
-    of: CountTransducer = field(repr=False, compare=False, kw_only=True)
+    def __init__(self, of: CountTransducer, head: str = "", fixed: tuple[tuple, int] | None = None, parts: tuple[StateMap, StateMap] | None = None) -> None:
+        self.of, self.head, self.fixed, self.parts = of, head, fixed, parts
+        self.table: dict[tuple, tuple[tuple, int]] = {}
 
-    def apply(self, state: int) -> tuple[int, int]:
-        state, count = self.of.run(state, self.head)
-        return (state, count) if self.exit is None else (self.exit[0], count + self.body + self.exit[1])
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        known = self.table.get(state)
+        if known is None:
+            if self.parts:
+                middle, before = self.parts[0].apply(state)
+                after, behind = self.parts[1].apply(middle)
+                known = after, before + behind
+            else:
+                after, count = self.of.run(state, self.head.encode("utf-8", "surrogatepass"))
+                known = (after, count) if self.fixed is None else (self.fixed[0], count + self.fixed[1])
+            self.table[state] = known
+        return known
 
     def then(self, other: StateMap) -> StateMap:
-        if self.exit is None:
-            return StateMap(self.head + other.head, other.body, other.exit, of=self.of)
-        state, count = self.of.run(self.exit[0], other.head)
-        done = self.exit[1] + count
-        if other.exit is None:
-            return StateMap(self.head, self.body, (state, done), of=self.of)
-        return StateMap(self.head, self.body + done + other.body, other.exit, of=self.of)
-
-
-def prefix_scan(items: list[Any], compose: Callable[[Any, Any], Any]) -> list[Any]:
-    """Inclusive prefixes in log2(n) rounds; within a round all compositions are independent."""
-    step = 1
-    while step < len(items):
-        items = items[:step] + [compose(a, b) for a, b in zip(items, items[step:], strict=False)]
-        step *= 2
-    return items
-
-
-def chunk_maps(text: str, transducer: CountTransducer, chunk: int = CHUNK) -> list[StateMap]:
-    """The state map of each chunk of a text without special strings."""
-    maps = []
-    for at in range(0, len(text), chunk):
-        low, high = max(0, at - MARGIN), min(len(text), at + chunk + MARGIN)
-        found = boundaries(code_points(text[low:high]), np.array([0])) + low
-        # the first position of a window cut out of a text is no boundary by itself
-        cuts = [x for x in found.tolist() if at <= x < min(at + chunk, len(text)) and (x > low or x == 0)]
-        end = min(at + chunk, len(text))
-        if not cuts:
-            maps.append(StateMap(text[at:end].encode(), of=transducer))
-            continue
-        body = sum(transducer.count(text[i:j]) for i, j in zip(cuts, cuts[1:], strict=False))
-        last = transducer.run(transducer.START, text[cuts[-1] : end].encode())
-        maps.append(StateMap(text[at : cuts[0]].encode(), body, last, of=transducer))
-    return maps
-
-
-def count_long(text: str, transducer: CountTransducer, chunk: int = CHUNK) -> int:
-    """Tokens of a text of any length, by composing the maps of its chunks."""
-    special, total = transducer.merges.special, 0
-    for n, part in enumerate(text.split(special) if special else [text]):
-        total += n > 0
-        if part:
-            total += prefix_scan(chunk_maps(part, transducer, chunk), StateMap.then)[-1].apply(transducer.START)[1]
-    return total
+        """Both, one after the other, for the entry states that this map has in its table."""
+        both = StateMap(self.of, parts=(self, other))
+        for state in self.table:
+            both.apply(state)
+        return both
+
+
+def combine(maps: list[StateMap]) -> StateMap:
+    """The composition of all maps, in rounds that merge neighbours; all merges of a round are independent."""
+    while len(maps) > 1:
+        merged = [a.then(b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+        maps = merged + maps[2 * len(merged) :]
+    return maps[0]
+
+
+def _windows(texts: list[str], chunk: int) -> Iterator[list[tuple[int, str, int, int, int]]]:
+    """Groups of chunks: number of the text, the text, begin and end of the chunk, and begin of a window around it."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), chunk):
+            end, low = min(at + chunk, len(text)), max(0, at - MARGIN)
+            group.append((i, text, at, end, low))
+            size += end - low
+            if size >= CHUNK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def chunk_maps(texts: list[str], transducer: CountTransducer, chunk: int) -> list[list[StateMap]]:
+    """The state maps of the chunks of each text; texts hold no special strings."""
+    out: list[list[StateMap]] = [[] for _ in texts]
+    for group in _windows(texts, chunk):
+        windows = [text[low : end + MARGIN] for _, text, _, end, low in group]
+        buffer, sizes = "".join(windows), np.fromiter(map(len, windows), np.int64, len(windows))
+        base = np.cumsum(sizes) - sizes
+        low, at, end = (np.array([g[k] for g in group], np.int64) for k in (4, 2, 3))
+        begins, ends = base + at - low, base + end - low
+        found = boundaries(code_points(buffer), base)
+        # a window's own start lies before its chunk, unless the text starts there
+        first, last = np.searchsorted(found, begins), np.searchsorted(found, ends)
+        closed = np.array([len(text) == stop for _, text, _, stop, _ in group])
+        cuts = found.tolist()
+        for k, (i, text, start, stop, _) in enumerate(group):
+            a, b = int(first[k]), int(last[k])
+            if a == b:
+                made = StateMap(transducer, text[start:stop])
+                made.apply(transducer.run(transducer.START, text[max(0, start - WARM) : start].encode("utf-8", "surrogatepass"))[0])
+                out[i].append(made)
+                continue
+            borders = [*cuts[a:b], int(ends[k])]
+            pieces = [buffer[x:y] for x, y in zip(borders, borders[1:], strict=False)]
+            state, tail = transducer.START, 0
+            if not closed[k]:
+                state, tail = transducer.run(state, pieces.pop().encode("utf-8", "surrogatepass"))
+            known = transducer.words
+            total = sum([known[p] if p in known else transducer.count(p) for p in pieces])
+            out[i].append(StateMap(transducer, buffer[int(begins[k]) : borders[0]], (state, total + tail)))
+    return out
 
 
 _made: dict[str, CountTransducer] = {}
@@ -247,19 +279,17 @@ def _transducer(vocabulary_json: str) -> CountTransducer:
 
 
 def count_texts(texts: list[str], transducer: CountTransducer, chunk: int = CHUNK) -> np.ndarray:
-    """Token counts of texts; short ones share a buffer, long ones go by chunks."""
-    short = [t if len(t) <= chunk else "" for t in texts]
-    parts, counts = pieces(short, transducer.merges.special)
-    transducer.words.setdefault(transducer.merges.special, 1)
-    known = transducer.words
-    each = np.fromiter((known[p] if p in known else transducer.count(p) for p in parts), np.int64, len(parts))
-    sums = np.concatenate([[0], np.cumsum(each)])
-    ends = np.cumsum(counts)
-    out = sums[ends] - sums[ends - counts]
-    for i, t in enumerate(texts):
-        if len(t) > chunk:
-            out[i] = count_long(t, transducer, chunk)
-    transducer.trim()
+    """Token counts of texts of any length, by composing the maps of their chunks."""
+    special = transducer.merges.special
+    stretches, owner, out = [], [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        parts = text.split(special) if special and special in text else [text]
+        out[i] = len(parts) - 1
+        for part in filter(None, parts):
+            stretches.append(part)
+            owner.append(i)
+    counts = [combine(maps).apply(transducer.START)[1] for maps in chunk_maps(stretches, transducer, chunk)]
+    np.add.at(out, owner, counts)
     return out
 
 

@@ -49,20 +49,45 @@ def test_chunked_counts_equal_whole_counts(library, transducer):
     for text in mixed(300, 4):
         want = len(library.encode(text, add_special_tokens=False).ids)
         for chunk in (1, 3, 8):
-            assert token_counts.count_long(text, transducer, chunk) == want
+            assert token_counts.count_texts([text, ""], transducer, chunk).tolist() == [want, 0]
 
 
 def test_state_maps_compose_associatively(transducer):
     text = " ".join(mixed(12, 5)).replace("<|endoftext|>", "")
-    maps = token_counts.chunk_maps(text, transducer, 6)
-    left = maps[0]
-    for m in maps[1:]:
-        left = left.then(m)
-    right = maps[-1]
-    for m in reversed(maps[:-1]):
-        right = m.then(right)
-    scanned = token_counts.prefix_scan(maps, token_counts.StateMap.then)[-1]
-    assert left.apply(0) == right.apply(0) == scanned.apply(0)
+    start = transducer.START
+    for size in (6, 40):
+        maps = lambda: token_counts.chunk_maps([text], transducer, size)[0]
+        left = maps()[0]
+        for m in maps()[1:]:
+            left = left.then(m)
+        right = maps()[-1]
+        for m in reversed(maps()[:-1]):
+            right = m.then(right)
+        assert left.apply(start) == right.apply(start) == token_counts.combine(maps()).apply(start)
+
+
+def test_a_text_without_a_boundary_takes_linear_time(library, transducer):
+    """No pre-token ends in it; the states a chunk starts with are met again, so each chunk is run once or twice."""
+    run, ran = type(transducer).run, []
+    for n in (200_000, 3_000_000):
+        for unit in ("x", "ab", "é", "aardvarkish"):
+            text = (unit * n)[:n]
+            ran.clear()
+            transducer.run = lambda state, data: ran.append(len(data)) or run(transducer, state, data)
+            got = token_counts.count_texts([text], transducer)[0]
+            del transducer.run
+            assert sum(ran) < 3 * len(text.encode()) + 100_000
+            if n < 1_000_000:
+                assert got == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_tables_are_begun_anew_inside_a_text(library):
+    with open(BPE, encoding="utf-8") as f:
+        small = token_counts.CountTransducer(token_counts.ByteMerges(f.read()), kept=50)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)), *mixed(50, 8)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(texts, small, 100).tolist() == want
 
 
 @settings(max_examples=60, deadline=None)
