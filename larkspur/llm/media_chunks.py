@@ -167,7 +167,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                     parts = split(file)
                     names = [digest(c) for c in parts]
                     common = [i for i, d in enumerate(names) if _known(bits.value, d)]
-                    own = b"".join(c for i, c in enumerate(parts) if i not in set(common))
+                    moved = set(common)
+                    own = b"".join(c for i, c in enumerate(parts) if i not in moved)
                     rows.append({"row": row, "id": id_value.as_py(), "n_bytes": n, "file_sha256": hashlib.sha256(file).hexdigest(), "digests": names, "sizes": [*map(len, parts)], "shared": common, "own": _pack(own) if own else None})
                     row += 1
                 yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(batch.column(0).type))
@@ -210,8 +211,8 @@ def load(lists: DataFrame, chunks: DataFrame, id_col: str = "doc_id", with_file:
     media_sha256, feature, n_chunks, n_shared`` and, if asked for, ``file``.
     A chunk or file that does not have its digest ends the job with an error.
     """
-    refs = lists.where(F.size("shared") > 0).select("row", F.posexplode("digests").alias("i", "digest"), "shared").where(F.array_contains("shared", F.col("i")))
-    refs = refs.select("row", "i", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    named = F.transform("shared", lambda i: F.struct(i.alias("i"), F.get("digests", i).alias("digest")))
+    refs = lists.where(F.size("shared") > 0).select("row", F.inline(named)).select("row", "i", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
     spread = refs.select("digest", "salt").distinct().join(chunks, "digest")
     moved = refs.join(spread, ["digest", "salt"]).groupBy("row").agg(F.collect_list(F.struct("i", "bytes")).alias("parts"))
     kind = "array<struct<i:int,bytes:binary>>"

@@ -50,7 +50,7 @@ KEPT = 300_000
 SLICE_IDS = 1 << 17
 #: Fixed values of the model file: field and type numbers of its messages.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
-NORMAL, UNKNOWN, BYTE, MODEL_BPE = 1, 2, 6, 2
+NORMAL, UNKNOWN, CONTROL, BYTE, MODEL_BPE = 1, 2, 3, 6, 2
 #: What an unknown piece decodes to.
 UNKNOWN_TEXT = " \u2047 "
 
@@ -119,6 +119,10 @@ class PieceTransducer:
                 self.prefix, self.squeeze = bool(parts.get(3, 1)), bool(parts.get(4, 1))
         if kind_of_model != MODEL_BPE or self.squeeze:
             raise ValueError("only BPE models that keep white space are supported")
+        if not set(kinds) <= {NORMAL, UNKNOWN, BYTE, CONTROL}:
+            raise ValueError("models with user-defined or unused pieces are not supported")
+        if sum(k == BYTE for k in kinds) != 256:
+            raise ValueError("models without a piece for every byte are not supported")
         self.id = {t: i for i, (t, k) in enumerate(zip(self.texts, kinds, strict=True)) if k == NORMAL}
         if any(BLANK in t.lstrip(BLANK) for t in self.id):
             raise ValueError("a piece reaches over the end of a word")
@@ -216,8 +220,6 @@ class PieceTransducer:
             cost = least[at]
             if cost == never:
                 continue
-            if least[n] != never:
-                break
             node = trie.get(c)
             if node is None:  # no piece for this character: its bytes, after which anything can follow
                 least[at + 1], before[at + 1] = cost, at
@@ -227,13 +229,14 @@ class PieceTransducer:
             while node is not None:
                 below, piece = node
                 end += 1
-                if piece >= 0 and least[end] == never:
+                if piece >= 0:
                     total = cost + costs[piece]
-                    if a >= 0:
-                        weight = arc(arcs + piece)
-                        total += order[arcs + piece] if weight is None else weight
-                    if total != never:
-                        least[end], last[end], before[end] = total, piece, at
+                    if total < least[end]:
+                        if a >= 0:
+                            weight = arc(arcs + piece)
+                            total += order[arcs + piece] if weight is None else weight
+                        if total < least[end]:
+                            least[end], last[end], before[end] = total, piece, at
                 node = below.get(span[end]) if end < n else None
         at, out = n, []
         while at:
