@@ -36,7 +36,9 @@ from larkspur.llm.pretokens import pieces
 from larkspur.llm.text_arrays import slices
 
 #: Distinct pre-tokens whose ids one Python worker keeps at most, in two generations.
-KEPT = 400_000
+KEPT = 1_000_000
+#: Bytes of text whose pre-tokens are looked up together.
+SLICE_BYTES = 1 << 20
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -128,7 +130,7 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
         library = _library(vocabulary.value)
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for begin, stop in slices(batch.column(1)):
+            for begin, stop in slices(batch.column(1), SLICE_BYTES):
                 rows, starts, lengths, data, totals = [], [], [], [], []
                 texts = ["" if t is None else t for t in batch.column(1).slice(begin, stop - begin).to_pylist()]
                 for row, ids in enumerate(library.ids(texts), begin):
