@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.skew import spread_join
 from larkspur.shared import discard, materialize
 
 
@@ -13,15 +14,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round takes the least label among neighbours and then the label of
     that label, so chains halve; each round's table is written to the shared
-    folder. Links and labels never leave the executors.
+    folder. Links and labels never leave the executors, and the links of a hub
+    and the nodes of a large component are dealt over tasks.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = last = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        told = spread_join(both, labels.withColumnRenamed("node", "b"), "b", "a").select(F.col("a").alias("node"), "label")
         best = labels.select("node", "label").union(told).groupBy("node").agg(F.min("label").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        jumped = best.join(up, "label").select("node", F.least("label", "higher").alias("label"))
+        jumped = spread_join(best, up, "label", "node").select("node", F.least("label", "higher").alias("label"))
         old = labels.select("node", F.col("label").alias("old"))
         made = materialize(jumped.join(old, "node"), "labels")
         discard(last)

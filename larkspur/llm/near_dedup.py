@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 
 from larkspur.llm import count_blocks
 from larkspur.llm.components import components
+from larkspur.llm.skew import SALTS, spread_join
 from larkspur.llm.text_arrays import Words, mix, slices, text_bytes
 from larkspur.shared import materialize
 
@@ -52,8 +53,6 @@ CELLS, DRAWS = 1 << 18, 1 << 16
 LEADER_ROUNDS = 4
 #: Queries and members of a bucket that meet in one group of the last search, about.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 512
-#: Tasks that the members of one text's copies are spread over when they get their class.
-SALTS = 16
 
 #: Shingles that are sampled at once.
 _CHUNK = 1 << 16
@@ -177,19 +176,23 @@ def _id_text(id_value: Column) -> Column:
 
 
 def _signatures(docs: DataFrame, frequency: Frequency, id_col: str, text_col: str) -> DataFrame:
+    """Digest and bands of every row, with a salt that deals equal rows evenly once it is written."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
     source = docs.select(F.col(id_col).alias("_nd_id"), _digest(F.col(text_col)).alias("node"), F.coalesce(text_col, F.lit("")).alias("_nd_text"))
-    schema = T.StructType([source.schema["_nd_id"], source.schema["node"], T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["_nd_id"], source.schema["node"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("salt", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
         for batch in batches:
+            salts = ((np.arange(len(batch)) + done) % SALTS).astype(np.int32)
+            done += len(batch)
             made = [np.zeros((0, BANDS), np.uint64)]
             for begin, end in slices(batch.column(2)):
                 made.append(band_keys(batch.column(2).slice(begin, end - begin), shared.value))
             keys = np.concatenate(made).view(np.int64)
             filled = keys.any(axis=1)
             offsets = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, keys[filled].ravel())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, keys[filled].ravel()), pa.array(salts)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -207,7 +210,7 @@ def _pack(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, frequency: Frequency, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+    """The pairs (a, b) whose texts are similar enough; the pairs of one leader b are dealt over tasks."""
     shared = pairs.sparkSession.sparkContext.broadcast(frequency)
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
@@ -224,7 +227,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequency: Frequency, threshol
             chosen = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=schema.names)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return spread_join(pairs.join(left, "a"), right, "b", "a").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,7 +235,7 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     lifted = links.join(at("a"), "a").join(at("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
     higher = components(materialize(lifted, "lifted-links")).withColumnRenamed("label", "higher").withColumnRenamed("node", "label")
-    return materialize(labels.join(higher, "label", "left").select("node", F.coalesce("higher", "label").alias("label")), "node-labels")
+    return materialize(spread_join(labels, higher, "label", "node", "left").select("node", F.coalesce("higher", "label").alias("label")), "node-labels")
 
 
 def _leader_pairs(placed: DataFrame, turn: int) -> DataFrame:
@@ -240,7 +243,7 @@ def _leader_pairs(placed: DataFrame, turn: int) -> DataFrame:
     order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
     open_ones = placed.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min(order).alias("leader"))
     open_ones = open_ones.where("least != most").select("bucket", F.col("leader.node").alias("b"), F.col("leader.label").alias("of"))
-    return placed.join(open_ones, "bucket").where(F.col("label") != F.col("of")).select(F.col("node").alias("a"), "b").distinct()
+    return spread_join(placed, open_ones, "bucket", "node").where(F.col("label") != F.col("of")).select(F.col("node").alias("a"), "b").distinct()
 
 
 def _searched(placed: DataFrame, texts: DataFrame, frequency: Frequency, threshold: float) -> DataFrame:
@@ -254,7 +257,7 @@ def _searched(placed: DataFrame, texts: DataFrame, frequency: Frequency, thresho
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     stats = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("big"))
     stats = stats.where("m > largest and m > 2").select("bucket", "big", F.ceil((F.col("m") - F.col("largest")) / QUERY_BLOCK).cast("int").alias("queries"), F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("blocks"))
-    inside = placed.join(stats, "bucket")
+    inside = spread_join(placed, stats, "bucket", "node")
     spot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = inside.select("bucket", "node", "label", spot("blocks", 1).alias("mb"), every("queries").alias("qb"))
@@ -315,7 +318,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     nodes = materialize(signed.groupBy("node").agg(F.min("_nd_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared_buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(exploded.join(shared_buckets, "bucket").select("bucket", "node"), "members")
+    members = materialize(spread_join(exploded, shared_buckets, "bucket", "node").select("bucket", "node"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", _id_text(F.col("first_id")).alias("_nd_key"))
     source = docs.select(_digest(F.col(text_col)).alias("node"), _id_text(F.col(id_col)).alias("_nd_key"), F.coalesce(text_col, F.lit("")).alias("text"))
     # by text and id, so the copies of one text do not meet in one task
@@ -324,10 +327,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     labels = _label_nodes(members, texts, frequency, threshold)
     named = nodes.join(labels, "node", "left").select("node", "first_id", "copies", F.coalesce("label", "node").alias("label"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of_node = named.select("node", "label").join(ids, "label").select("node", "label", "class_id", "class_size")
-    light = signed.select(F.col("_nd_id").alias(id_col), "node", F.pmod(F.xxhash64("_nd_id"), F.lit(SALTS)).alias("_nd_salt"))
-    spread = light.select("node", "_nd_salt").distinct().join(of_node, "node")
-    return light.join(spread, ["node", "_nd_salt"]).select(id_col, "class_id", "class_size", "node", "label")
+    of_node = spread_join(named.select("node", "label"), ids, "label", "node").select("node", "label", "class_id", "class_size")
+    light = signed.select(F.col("_nd_id").alias(id_col), "node", F.col("salt").alias("_nd_salt"))
+    return spread_join(light, of_node, "node", F.col("_nd_salt")).select(id_col, "class_id", "class_size", "node", "label")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

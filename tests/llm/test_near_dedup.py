@@ -6,6 +6,7 @@ import pytest
 
 from larkspur.llm import near_dedup
 from larkspur.llm.components import components
+from larkspur.llm.skew import spread_join
 
 
 def brute(rows, frequency):
@@ -114,3 +115,19 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     docs = docs.union(spark.createDataFrame([(5, "a third text that is like none of the other two texts")], docs.schema))
     kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect())
     assert kept == [(3, text), (5, "a third text that is like none of the other two texts"), (5, "quite another text with words of its own here")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, how):
+    rows = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 5), (2, 5), (3, 7), (None, 8)], "k long, v long").repartition(4)
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, w string")
+    found = [sorted(map(tuple, f.select("k", "v", "w").collect()), key=repr) for f in (spread_join(rows, table, "k", "v", how), rows.join(table, "k", how))]
+    assert found[0] == found[1]
+
+
+def test_copies_without_ids_are_one_class(spark):
+    """Rows that nothing tells apart, more of them than salts."""
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text)] * 50 + [(4, text)] * 50, "doc_id long, text string").repartition(3)
+    assert [tuple(r) for r in near_dedup.classes(docs).distinct().collect() if r.doc_id] == [(4, 4, 100)]
+    assert near_dedup.classes(docs).count() == 100
