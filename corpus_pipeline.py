@@ -23,22 +23,27 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; the model is learnt from the same table. Odd rows: see :mod:`larkspur.llm.language_id`."""
     return language_id.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the least id. Odd rows: see :mod:`larkspur.llm.exact_dedup`."""
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every near-duplicate class the row with the least id. Odd rows: see :mod:`larkspur.llm.near_dedup`."""
     return near_dedup.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced; none is dropped. Odd rows: see :mod:`larkspur.llm.secrets`."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece, with a checksum in place of its ids. Odd rows: see :mod:`larkspur.llm.packing`."""
     made = packing.pack(docs, public_tokenizers.path(VOCABULARY), end_id=0, longest=1024)
     return made.select("doc_id", "start", "length", packing.with_checksum(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
@@ -51,7 +56,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL cannot express naive Bayes, sampling and tokenizers; a brute-force version of all stages is still to be written.
+#: SQL cannot express naive Bayes, sampling and tokenizers; tests/llm/test_pipeline_brute.py compares with a plain version of all stages.
 ORACLE_SQL = None
 
 
