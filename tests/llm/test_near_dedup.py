@@ -67,6 +67,24 @@ def test_classes_equal_brute_force(spark):
     assert sum(c == min(i for i, _ in rows[-60:]) for _, c in found) == 60
 
 
+def test_recall_on_a_whole_documents_table(spark):
+    """Against all pairs: no document too many in a class, and at least 0.9 of the similar pairs in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    frequency = near_dedup.document_frequency(docs)
+    row, h, often = near_dedup.shingles(pa.array([r.text or "" for r in rows]))
+    cuts = np.searchsorted(row, np.arange(len(rows) + 1))
+    weights = frequency.weight(h, often)
+    parsed = [(h[a:b], weights[a:b]) for a, b in zip(cuts, cuts[1:])]
+    similar = [(i, j) for i in range(len(rows)) for j in range(i) if near_dedup.weighted_jaccard(parsed[i], parsed[j]) >= near_dedup.THRESHOLD]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    caught = [found[rows[i].doc_id] == found[rows[j].doc_id] for i, j in similar if rows[i].text != rows[j].text]
+    print(f"{len(rows)} documents, {len(similar)} similar pairs, {len(caught)} of different texts, recall {np.mean(caught):.4f}")
+    assert len(caught) > 10 and np.mean(caught) >= 0.9
+    whole = dict(brute([(r.doc_id, r.text) for r in rows], frequency))
+    assert all(whole[i] == whole[c] for i, c in found.items())
+
+
 def test_the_last_search_finds_what_leaders_miss(spark, monkeypatch):
     """One leader round, blocks of a few rows, and groups whose members are far from each other."""
     monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 1)
