@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.shared import settings
+
 BLOCK = 1 << 16
 #: Blocks that meet in one group.
 TASKS = 256
@@ -71,9 +73,10 @@ def total(rows: DataFrame) -> DataFrame:
 def to_arrays(summed: DataFrame, size: int) -> dict[str, np.ndarray]:
     """The summed vectors on the driver; their size is fixed by the model, not by the data."""
     found: dict[str, np.ndarray] = {}
-    for row in summed.select("name", "block", "counts").toLocalIterator():
-        part = unpack(bytes(row["counts"]))
-        found.setdefault(row["name"], np.zeros(size, np.int64))[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    with settings(summed.sparkSession):
+        for row in summed.select("name", "block", "counts").toLocalIterator():
+            part = unpack(bytes(row["counts"]))
+            found.setdefault(row["name"], np.zeros(size, np.int64))[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     return found
 
 

@@ -203,8 +203,10 @@ def _pack(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [pa.compress(t.encode(), "zstd", asbytes=True) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=schema.names)
+            for begin, end in slices(batch.column(1)):
+                part = batch.slice(begin, end - begin)
+                packed = [pa.compress(t.encode(), "zstd", asbytes=True) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 

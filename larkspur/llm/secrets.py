@@ -150,10 +150,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[dict]] = []
             for begin, end in slices(batch.column(2)):
-                found += map(scan, batch.column(2).slice(begin, end - begin).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _ARROW_SPANS)], names=schema.names)
+                part = batch.slice(begin, end - begin)
+                found = pa.array(map(scan, part.column(2).to_pylist()), _ARROW_SPANS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=schema.names)
 
     found = materialize(source.mapInArrow(run, schema), "secret-spans")
     some_weak = F.exists("_se_all", lambda s: ~s["kind"].isin(*STRONG))
@@ -201,9 +201,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[:-1])
-            columns[place] = pa.array(_cut(columns[place].to_pylist(), batch.columns[-1].to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for begin, end in slices(batch.column(place)):
+                columns = batch.slice(begin, end - begin).columns
+                columns[place] = pa.array(_cut(columns[place].to_pylist(), columns[-1].to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays(columns[:-1], names=names)
 
     out = tagged.select(*docs.columns, "_se_spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

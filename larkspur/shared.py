@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: With it, an SQL execution removes its shuffle files when it ends; its result is then in the written table.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of an Arrow batch, beside Spark's limit of rows: texts differ in length, and a task holds its batch on both sides.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _open: list[list[DataFrame]] = []
@@ -39,6 +41,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Jobs begun in the block have Arrow batches that end at ``BATCH_BYTES``, after a whole row, and these settings."""
+    wanted = {_BATCH: str(BATCH_BYTES)} | values
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -47,12 +63,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     write are removed when it ends.
     """
     spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    path = shared_path(spark, name)
+    with settings(spark, **{_CLEAN: "true"}):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     if _open:
