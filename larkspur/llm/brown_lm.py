@@ -5,7 +5,8 @@ P(word | class), closed by the end token, which is a class of its own. Classes
 come from exchange clustering, as a sequence of Spark jobs:
 
 * Texts are read one time, in blocks. A block numbers its distinct words and
-  keeps its texts as sequences of these numbers.
+  keeps its training texts, and its others, as one sequence of these numbers
+  each, so a sweep does not unpack text by text.
 * Every word has a class of its own. The table word -> class stays distributed
   in *parts* by the word's 64-bit hash, about ``PART_BYTES`` of text for each;
   a block gets the classes and counts of the words it holds, and no more. A
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,15 +74,23 @@ def _join(packed: list[bytes], kind: str = "<i4") -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_unpack(p, kind) for p in packed)])
 
 
-def _closed(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens, each text closed by the end token; the words, their places, and the texts' word counts."""
-    each = [_unpack(t) for t in texts]
-    counts = np.array([len(e) for e in each], np.int64)
-    words = np.concatenate([np.zeros(0, "<i4"), *each]).astype(np.int64)
-    at = np.arange(len(words)) + np.repeat(np.arange(len(each)), counts)
-    tokens = np.full(len(words) + len(each), END, np.int64)
-    tokens[at] = table[words]
-    return tokens, words, at, counts
+#: Parts of rows that hold the sequence of a block's training texts, and of its others.
+TRAINED, HELD = -1, -2
+
+
+def _sequence(lids: np.ndarray, doc: np.ndarray, chosen: np.ndarray) -> bytes:
+    """The words of the chosen texts as numbers from 1, each text closed by a 0."""
+    words = chosen[doc]
+    text = np.cumsum(chosen)[doc[words]] - 1
+    out = np.zeros(len(text) + int(chosen.sum()), "<i4")
+    out[np.arange(len(text)) + text] = lids[words] + 1
+    return _pack(out)
+
+
+def _closed(table: np.ndarray, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens of a sequence, the places of its words, and the words."""
+    at = np.flatnonzero(sequence)
+    return np.concatenate([np.array([END], np.uint8), table])[sequence], at, sequence[at] - 1
 
 
 _NUMBERED = "part int, block long, numbers binary, lids binary"
@@ -194,12 +204,15 @@ def context_counts(texts: DataFrame, words: DataFrame, half: int) -> DataFrame:
         table[lids] = _join(words["classes"].to_pylist(), "u1")
         place[lids] = np.arange(len(lids))
         mine[lids] = np.concatenate([np.zeros(0, np.int64), *numbers]) % 2 == half
-        tokens, seen, at, _ = _closed(table, texts["data"].to_pylist())
-        previous = np.concatenate([[END], tokens[:-1]]) if len(tokens) else tokens
-        pairs = np.bincount(previous * CLASSES + tokens, minlength=CLASSES * CLASSES)
+        tokens, at, seen = _closed(table, _join(texts["data"].to_pylist()))
+        previous = np.concatenate([np.full(min(len(tokens), 1), END, np.uint8), tokens[:-1]])
+        pairs = np.bincount(previous.astype(np.int16) * CLASSES + tokens, minlength=CLASSES * CLASSES)
         chosen = mine[seen]
-        where, at = place[seen[chosen]] * 64, at[chosen]
-        keys, counts = np.unique(np.concatenate([where + previous[at], where + 32 + tokens[at + 1]]), return_counts=True)
+        where, at = (place * 64)[seen[chosen]], at[chosen]
+        both = np.concatenate([where + previous[at], where + (tokens[at + 1] + np.uint8(32))])
+        # small keys sort faster
+        keys, counts = np.unique(both.astype(np.int32) if len(lids) < 1 << 25 else both, return_counts=True)
+        keys = keys.astype(np.int64)
         out, base = [(-1, None, _pack(pairs, "<i8"))], 0
         for part, number in zip(words["part"].to_pylist(), numbers, strict=True):
             a, b = np.searchsorted(keys, [base * 64, (base + len(number)) * 64])
@@ -350,14 +363,14 @@ def class_totals(numbered: DataFrame, classes: DataFrame) -> tuple[np.ndarray, n
     return n, v
 
 
-#: Rows of the reading pass: of a document (part is null), or of a block's words in a part.
-_ENCODED = "block long, part int, doc_id {id}, held_out boolean, data binary, numbers binary"
+#: Rows of the reading pass: of a document (part is null) with its place in a sequence, of a sequence, or of a block's words in a part.
+_ENCODED = "block long, part int, doc_id {id}, held_out boolean, place int, data binary, numbers binary"
 
 
 def _encode(docs: DataFrame, parts: int) -> DataFrame:
     """Documents as sequences of block-numbered words, and the words of each block with their training counts."""
     schema = T.StructType.fromDDL(_ENCODED.format(id=docs.schema["doc_id"].dataType.simpleString()))
-    arrow = [pa.int64(), pa.int32(), None, pa.bool_(), pa.binary(), pa.binary()]
+    arrow = [pa.int64(), pa.int32(), None, pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
 
     def rows(n: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
         kinds = [k or id_type for k in arrow]
@@ -397,14 +410,20 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
             data=pa.array([_pack(np.concatenate(h), "<u8") for h, _ in packets], pa.binary()),
             numbers=pa.array([_pack(np.concatenate(n)) for _, n in packets], pa.binary()),
         )
-        cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
+        yield rows(
+            2,
+            ids.type,
+            block=pa.array([block, block]),
+            part=pa.array([TRAINED, HELD], pa.int32()),
+            data=pa.array([_sequence(lid, doc, ~held), _sequence(lid, doc, held)], pa.binary()),
+        )
         yield rows(
             len(count),
             ids.type,
             block=pa.array(np.full(len(count), block)),
             doc_id=ids,
             held_out=pa.array(held),
-            data=pa.array([_pack(lid[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            place=pa.array(np.where(held, np.cumsum(held), np.cumsum(~held)) - 1, pa.int32()),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,9 +459,9 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
     split = docs.select(F.col(id_col).alias("doc_id"), (count_blocks.bucket(id_col, folds) == fold).alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = split.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     encoded = materialize(_encode(split, 1 + size // PART_BYTES), "encoded")
-    numbered = number_words(encoded.where("part is not null").select("part", "block", "data", "numbers"))
-    read = encoded.where("part is null")
-    classes, pairs = cluster(read.where("not held_out").select("block", "data"), numbered, sweeps)
+    numbered = number_words(encoded.where("part >= 0").select("part", "block", "data", "numbers"))
+    read = encoded.where("part is null or part < 0")
+    classes, pairs = cluster(read.where(f"part = {TRAINED}").select("block", "data"), numbered, sweeps)
     n_class, v_class = class_totals(numbered, classes)
     ends = int(pairs[:, END].sum())
     n_all, v_all = int(n_class.sum()) + ends, int(v_class.sum()) + (ends > 0)
@@ -466,12 +485,23 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
         c[lids] = _join(packets["counts"].to_pylist(), "<i8")
         table[lids] = _join(packets["data"].to_pylist(), "u1")
         value, known = np.log10(c + 0.5), c > 0
-        tokens, seen, at, count = _closed(table, texts["data"].to_pylist())
-        text, n = np.repeat(np.arange(len(texts)), count), count + 1
-        total = np.bincount(text, value[seen], len(texts))
-        hits = np.bincount(text, known[seen], len(texts)).astype(np.int64)
-        previous = np.concatenate([[END], tokens[:-1]])
-        model = total + np.bincount(np.repeat(np.arange(len(texts)), n), log10[previous, tokens] - below_class[tokens], len(texts))
+        sequences = texts.filter(pc.is_valid(texts["part"]))
+        stored = dict(zip(sequences["part"].to_pylist(), sequences["data"].to_pylist(), strict=True))
+        sums = [np.zeros((0, 4))]
+        for part in (TRAINED, HELD):
+            sequence = _unpack(stored[part])
+            tokens, at, seen = _closed(table, sequence)
+            closes = np.flatnonzero(sequence == 0)
+            begins = np.concatenate([[0], closes + 1])[: len(closes)]
+            each = np.zeros((len(sequence), 3))
+            each[at, 0], each[at, 1] = value[seen], known[seen]
+            each[:, 2] = log10[np.concatenate([np.full(min(len(tokens), 1), END, np.uint8), tokens[:-1]]), tokens] - below_class[tokens]
+            sums.append(np.column_stack([np.add.reduceat(each, begins, axis=0), closes + 1 - begins]) if len(closes) else np.zeros((0, 4)))
+        texts = texts.filter(pc.is_null(texts["part"]))
+        held = np.array(texts["held_out"].to_pylist(), bool)
+        total, hits, between, n = np.concatenate(sums)[texts["place"].to_numpy() + held * len(sums[1])].T
+        hits, n = hits.astype(np.int64), n.astype(np.int64)
+        model = total + between
         columns = [
             texts["doc_id"].combine_chunks(),
             texts["held_out"].combine_chunks(),
@@ -484,5 +514,5 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1, id_col: str = "doc_id"
         ]
         return pa.table(columns, names=schema.names)
 
-    texts = read.select("block", "doc_id", "held_out", "data")
+    texts = read.select("block", "part", "doc_id", "held_out", "place", "data")
     return texts.groupBy("block").cogroup(counted(numbered, classes).groupBy("block")).applyInArrow(run, schema)
