@@ -74,15 +74,26 @@ def metadata(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]]
 
     ``index_seq`` is the last flush that a stored index holds; null for a scan.
     """
-    holds = Selector(index=index if query.engine == "index" else None).compile(query.selector)
-    rows = _visible(docs).where(F.col("namespace") == query.namespace)
-    return rows.agg(
-        F.count(F.lit(1)).alias("query_candidates"),
-        F.count_if(holds).alias("query_matches"),
-        F.max(F.when(holds, F.col("key"))).alias("cursor"),
-        F.lit(query.returns).alias("return_mode"),
-        (F.max("index_seq") if query.engine == "index" and "index_seq" in docs.columns else F.lit(None).cast("long")).alias("index_seq"),
-    )
+    return metadata_each(docs, [query], index).drop("query")
+
+
+def metadata_each(docs: DataFrame, queries: list[Query], index: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """As :func:`metadata`, a row for each query of one namespace with its number as ``query``; the documents are read one time."""
+    (namespace,) = {q.namespace for q in queries}
+    told = []
+    for i, query in enumerate(queries):
+        holds = Selector(index=index if query.engine == "index" else None).compile(query.selector)
+        one = F.struct(
+            F.lit(i).alias("query"),
+            F.count(F.lit(1)).alias("query_candidates"),
+            F.count_if(holds).alias("query_matches"),
+            F.max(F.when(holds, F.col("key"))).alias("cursor"),
+            F.lit(query.returns).alias("return_mode"),
+            (F.max("index_seq") if query.engine == "index" and "index_seq" in docs.columns else F.lit(None).cast("long")).alias("index_seq"),
+        )
+        told.append(one)
+    rows = _visible(docs).where(F.col("namespace") == namespace)
+    return rows.agg(F.array(*told).alias("told")).select(F.inline("told"))
 
 
 def pages(docs: DataFrame, query: Query, index: Mapping[str, tuple[str, str]] | None = None) -> Iterator[DataFrame]:

@@ -188,10 +188,8 @@ def query_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         indexed, mapping = docs_query.build_index(docs, [("/k", kind)])
         path = shared_path(spark, f"index-{kind}")
         docs_query.write_index(indexed, path, index_seq=7)
-        stored = spark.read.parquet(path)
-        for i, (leaf, _) in enumerate(_LEAVES):
-            told = docs_query.metadata(stored, docs_query.Query(leaf, engine="index"), mapping).where("index_seq = 7")
-            found.append(told.select(F.lit(i).alias("leaf"), F.lit(kind).alias("kind"), F.col("query_matches").alias("n"), F.col("cursor").alias("last")))
+        told = docs_query.metadata_each(spark.read.parquet(path), [docs_query.Query(leaf, engine="index") for leaf, _ in _LEAVES], mapping).where("index_seq = 7")
+        found.append(told.select(F.col("query").alias("leaf"), F.lit(kind).alias("kind"), F.col("query_matches").alias("n"), F.col("cursor").alias("last")))
     return reduce(DataFrame.union, found)
 
 

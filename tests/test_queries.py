@@ -97,3 +97,13 @@ def test_index_engine_gives_the_rows_of_a_scan(spark, kind):
     both = {"scan": docs, "index": indexed}
     found = {e: [sorted(r.key for r in q.candidates(d, q.Query(leaf, engine=e), mapping).collect()) for leaf in leaves] for e, d in both.items()}
     assert found["scan"] == found["index"] and found["scan"][0] == ["00"]
+
+
+def test_metadata_of_several_queries_reads_the_documents_once(spark):
+    from larkspur.operators import query as q
+
+    docs = spark.createDataFrame([("default", "a", '{"k":1}'), ("default", "b", '{"k":2}'), ("other", "c", '{"k":1}')], "namespace string, key string, doc string")
+    wanted = [q.Query({"k": v}) for v in (1, 2, 3)]
+    told = q.metadata_each(docs, wanted)
+    assert [(r.query, r.query_candidates, r.query_matches, r.cursor) for r in told.collect()] == [(0, 2, 1, "a"), (1, 2, 1, "b"), (2, 2, 0, None)]
+    assert [q.metadata(docs, w).first() for w in wanted] == told.drop("query").collect()
