@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +40,17 @@ def acquire(leases: DataFrame, requests: DataFrame, now: int, if_not_exists: boo
 
     Keys with a live lease are refused; ``if_not_exists`` also refuses keys of
     ``existing``. The fencing token is one above the key's highest so far.
+
+    The leases are read once, for the last expiry and the highest token of each
+    key: two numbers, which are combined before the shuffle and need no sort.
     """
-    free = requests.join(live(leases, now).select(*KEY), list(KEY), "left_anti")
+    asked = requests
     if if_not_exists and existing is not None:
-        free = free.join(existing.select(*KEY), list(KEY), "left_anti")
-    first = free.groupBy(*KEY).agg(F.min_by(F.struct("owner", "ttl_seconds", "request_id"), F.col("request_id")).alias("r"))
-    fenced = leases.groupBy(*KEY).agg(F.max("fencing_token").alias("fence"))
-    return first.join(fenced, list(KEY), "left").select(
+        asked = asked.join(existing.select(*KEY), list(KEY), "left_anti")
+    first = asked.groupBy(*KEY).agg(F.min_by(F.struct("owner", "ttl_seconds", "request_id"), F.col("request_id")).alias("r"))
+    held = leases.groupBy(*KEY).agg(F.max("fencing_token").alias("fence"), F.max("expires_at_unix").alias("until"))
+    free = first.join(held, list(KEY), "left").where(F.col("until").isNull() | (F.col("until") <= F.lit(now)))
+    return free.select(
         *KEY,
         "r.owner",
         F.sha2(F.concat_ws("/", *KEY, F.col("r.request_id").cast("string")), 256).alias("lease_id"),
@@ -91,15 +96,24 @@ class Update:
     error: Exception | None = None
 
 
-def acquire_for_update(leases: DataFrame, versions: DataFrame, requests: DataFrame, now: int, handler: Callable[[DataFrame], DataFrame]) -> Update:
+def acquire_for_update(leases: DataFrame, versions: DataFrame | Callable[[DataFrame], DataFrame], requests: DataFrame, now: int, handler: Callable[[DataFrame], DataFrame]) -> Update:
     """Acquire, hand a private snapshot to ``handler``, stage what it returns, release.
 
     The handler gets ``namespace, key, doc, version, state_etag`` of the granted
     keys and returns ``namespace, key, doc``. Leases are released in any case;
     if the handler raises, with a rollback, and its error is in the result.
+
+    Only versions of keys that need them are worked on: the granted keys for
+    the snapshot, and those that the handler returns for what is staged. A table
+    of versions is joined with these keys; versions that are first worked out
+    come as a function that takes ``namespace, key`` and gives all versions of
+    these keys.
     """
+    versions_of = versions if callable(versions) else partial(state.of_keys, versions)
     granted = acquire(leases, requests, now)
-    seen = granted.select(*KEY).join(state.latest(versions, public=False).select(*KEY, "doc", "version", "state_etag"), list(KEY), "left")
+    own = versions_of(granted.select(*KEY))
+    own = own.select(*KEY, *(c for c in ("doc", "version", "state_etag", "removed") if c in own.columns))
+    seen = granted.select(*KEY).join(state.latest(own, public=False).select(*KEY, "doc", "version", "state_etag"), list(KEY), "left")
     freed = granted.select(*KEY, F.col("lease_id").alias("txn_id"))
     after = release_leases(granted, granted, now)
     try:
@@ -107,4 +121,4 @@ def acquire_for_update(leases: DataFrame, versions: DataFrame, requests: DataFra
     except Exception as error:  # the caller's code may raise anything
         return Update(granted, after, None, freed.withColumn("rollback", F.lit(True)), error)
     free = made.select(*KEY, "doc").withColumn("if_version", F.lit(None).cast("long")).withColumn("if_state_etag", F.lit(None).cast("string"))
-    return Update(granted, after, state.update(versions, free), freed.withColumn("rollback", F.lit(False)))
+    return Update(granted, after, state.update(versions_of(made.select(*KEY)), free), freed.withColumn("rollback", F.lit(False)))

@@ -37,6 +37,17 @@ def newest(versions: DataFrame) -> DataFrame:
     return versions.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col("version")).alias("_last")).select(*KEY, "_last.*")
 
 
+def of_keys(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the keys in ``keys(namespace, key, ...)``.
+
+    For rows before :func:`history`: Spark does not move the join below the
+    numbering, so versions of all keys would be sorted for it. A task keeps its
+    distinct keys in a hash table and lets the rows pass it, where a merge join
+    would sort the rows of all keys.
+    """
+    return versions.join(keys.select(*KEY).distinct().hint("shuffle_hash"), list(KEY), "left_semi")
+
+
 def get(versions: DataFrame, key: str, namespace: str = "default", public: bool = True) -> DataFrame:
     """The document of one key; no row where there is no content."""
     return latest(versions.where((F.col("namespace") == namespace) & (F.col("key") == key)), public)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,10 +62,11 @@ _DOCS = "(SELECT event_type AS namespace, printf('events/%012d', event_id) AS ke
 _K = "TRY_CAST(json_extract(doc, '/k') AS BIGINT)"
 
 
-def _user_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as versions of one document; error events are tombstones."""
+def _user_versions(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """Each user's events as versions of one document; error events are tombstones. ``keys`` limits the documents."""
     e = _table(spark, sf_dir, "events")
     rows = e.select(F.lit("default").alias("namespace"), F.format_string("user/%d", "user_id").alias("key"), "ts", "event_id", F.col("props").alias("doc"), (F.col("event_type") == "error").alias("removed"), F.lit(True).alias("committed"), F.lit(False).alias("query_hidden"), _seconds().alias("updated_at_unix"))
+    rows = rows if keys is None else state.of_keys(rows, keys)
     return state.history(rows, ["ts", "event_id"]).withColumn("state_etag", state.etag(F.col("doc")))
 
 
@@ -479,7 +480,7 @@ def lease_acquire_for_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     def handler(seen: DataFrame) -> DataFrame:
         return seen.select("namespace", "key", F.to_json(F.struct(F.coalesce("version", F.lit(0)).alias("seen"))).alias("doc"))
 
-    made = leases.acquire_for_update(_leases(spark, sf_dir), _user_versions(spark, sf_dir), _requests(spark, sf_dir), NOW, handler)
+    made = leases.acquire_for_update(_leases(spark, sf_dir), partial(_user_versions, spark, sf_dir), _requests(spark, sf_dir), NOW, handler)
     return made.staged.select("key", "version", "doc")
 
 

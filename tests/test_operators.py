@@ -73,6 +73,26 @@ def test_update_under_leases_rolls_back_on_errors(spark):
     assert isinstance(bad.error, RuntimeError) and bad.staged is None and bad.releases.first().rollback
 
 
+def test_update_under_leases_works_on_versions_of_its_keys_only(spark):
+    held = spark.createDataFrame([("n", "b", "l", "o", 4, 200), ("n", "c", "l", "o", 5, 100), ("n", "c", "m", "o", 4, None)], LEASES)
+    asked = spark.createDataFrame([("n", k, "q", 10, i) for i, k in enumerate(["a", "b", "c", None])], "namespace string, key string, owner string, ttl_seconds int, request_id long")
+    wanted = []
+
+    def versions_of(keys):
+        wanted.append(sorted(str(r.key) for r in keys.collect()))
+        return state.of_keys(versions(spark), keys)
+
+    def handler(seen):  # it also writes to a key that it was not granted
+        other = spark.createDataFrame([("n", "b", "{}")], "namespace string, key string, doc string")
+        return seen.select("namespace", "key", F.coalesce("doc", F.lit("none")).alias("doc")).union(other)
+
+    for source in (versions_of, versions(spark)):
+        made = leases.acquire_for_update(held, source, asked, 100, handler)
+        assert sorted((str(r.key), r.version, r.doc) for r in made.staged.collect()) == [("None", 1, "none"), ("a", 3, '{"v":2}'), ("b", 2, "{}"), ("c", 1, "none")]
+        assert sorted((str(r.key), r.fencing_token) for r in made.granted.collect()) == [("None", 1), ("a", 1), ("c", 6)]
+    assert wanted == [["None", "a", "c"], ["None", "a", "b", "c"]]
+
+
 def test_release_publishes_or_drops_staged_versions(spark):
     staged = versions(spark).withColumn("txn_id", F.col("version"))
     marks = lambda back: spark.createDataFrame([("n", "a", 2, back)], "namespace string, key string, txn_id long, rollback boolean")

@@ -82,6 +82,18 @@ def test_every_lease_is_handed_over_as_a_write(spark, data, monkeypatch):
     assert real(rows, rows, 0).count() == current
 
 
+def test_update_under_leases_sorts_no_versions_or_leases_of_other_keys(spark, data):
+    plan = queries.QUERIES["lease_acquire_for_update"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    lines = plan[: plan.find("== Initial Plan ==") if "== Initial Plan ==" in plan else None].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    numbered = [i for i, line in enumerate(lines) if "Window [row_number()" in line and " ts#" in line]
+    assert len(numbered) == 2
+    for i in numbered:  # below the numbering and its sort the rows of other keys are gone, without a sort of them
+        assert "Sort [" in lines[i + 1] and "ShuffledHashJoin" in lines[i + 2] and "LeftSemi" in lines[i + 2], lines[i : i + 3]
+        assert depth[i] < depth[i + 1] < depth[i + 2]
+    assert "LeftAnti" not in plan
+
+
 @pytest.mark.parametrize("kind", ["bigint", "double", "string", "boolean"])
 def test_index_engine_gives_the_rows_of_a_scan(spark, kind):
     """Every leaf, over values of every type, with an index column of every type."""
