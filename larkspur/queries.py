@@ -20,7 +20,7 @@ from larkspur.functions import backoff, pointers, scalars, times
 from larkspur.operators import attachments, catalog, consumers, leases, mutate, queues, state
 from larkspur.operators import query as docs_query
 from larkspur.plans.mutations import MutationError, Parser
-from larkspur.shared import shared_path
+from larkspur.shared import materialize, shared_path
 from larkspur.sources import bytes_io
 from larkspur.streaming import subscribe, watch
 
@@ -70,6 +70,11 @@ def _user_versions(spark: SparkSession, sf_dir: str, keys: DataFrame | None = No
     return state.history(rows, ["ts", "event_id"]).withColumn("state_etag", state.etag(F.col("doc")))
 
 
+def _user_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version of each user's document, for queries that read it several times: versions are numbered once."""
+    return materialize(state.newest(_user_versions(spark, sf_dir)), "user-heads")
+
+
 _VERSIONS = """(SELECT printf('user/%d', user_id) AS key, event_id, props AS doc, event_type = 'error' AS removed, CAST(floor(epoch(ts)) AS BIGINT) AS updated_at_unix,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events)"""
 _LATEST = f"(SELECT * FROM {_VERSIONS} QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC) = 1)"
@@ -331,8 +336,8 @@ def state_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT key, max(version) + 1 AS version, 'back' AS doc FROM {_VERSIONS} GROUP BY key HAVING arg_max(removed, version)")
 def state_write_after_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes to removed keys, read back: they stand above the tombstone."""
-    versions = _user_versions(spark, sf_dir)
-    writes = state.newest(versions).where("removed").select("namespace", "key", F.lit(None).cast("long").alias("if_version"), F.lit(None).cast("string").alias("if_state_etag"), F.lit("back").alias("doc"))
+    versions = _user_heads(spark, sf_dir)
+    writes = versions.where("removed").select("namespace", "key", F.lit(None).cast("long").alias("if_version"), F.lit(None).cast("string").alias("if_state_etag"), F.lit("back").alias("doc"))
     made = state.update(versions, writes).withColumn("removed", F.lit(False)).withColumn("committed", F.lit(True))
     both = versions.unionByName(made, allowMissingColumns=True)
     return state.latest(both).join(writes.select("namespace", "key"), ["namespace", "key"], "left_semi").select("key", "version", "doc")
@@ -374,7 +379,7 @@ def state_typed_save(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT key, version, version % 2 = 0 AS query_hidden FROM {_LATEST} WHERE NOT removed")
 def state_set_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = _user_versions(spark, sf_dir)
+    versions = _user_heads(spark, sf_dir)
     marks = state.latest(versions).select("namespace", "key", (F.col("version") % 2 == 0).alias("query_hidden"))
     return state.set_hidden(versions, marks).select("key", "version", "query_hidden")
 

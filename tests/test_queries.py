@@ -94,6 +94,12 @@ def test_update_under_leases_sorts_no_versions_or_leases_of_other_keys(spark, da
     assert "LeftAnti" not in plan
 
 
+@pytest.mark.parametrize("name", ["state_write_after_remove", "state_set_hidden"])
+def test_versions_that_are_read_several_times_are_numbered_once(spark, data, name):
+    plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "row_number()" in line and " ts#" in line]
+
+
 @pytest.mark.parametrize("kind", ["bigint", "double", "string", "boolean"])
 def test_index_engine_gives_the_rows_of_a_scan(spark, kind):
     """Every leaf, over values of every type, with an index column of every type."""
